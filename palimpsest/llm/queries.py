@@ -42,4 +42,10 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op3_token_counts, op7_best_fit_packing, op9_exact_topk)}
+def op10_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op3_token_counts, op7_best_fit_packing, op9_exact_topk, op10_minhash_odd_sketch)}
