@@ -71,3 +71,18 @@ def texts(docs: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Ids that are broadcast at most (16 bytes each); more go through a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not in ids (one column). Rows with a null doc_id stay."""
+    name = "_gone"
+    while name in docs.columns:
+        name += "_"
+    ids = ids.toDF(name).where(F.col(name).isNotNull()).distinct()
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs["doc_id"].cast("long") == ids[name], "left_anti")
