@@ -1,3 +1,5 @@
 """DuckDB SQL for the queries that SQL can state."""
 
-ORACLES: dict[str, str] = {}
+from .license_scan import license_sql
+
+ORACLES: dict[str, str] = {"op2_license_scan": license_sql()}
