@@ -180,16 +180,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MA
     return out.withColumn("coverage", F.round(F.col("covered") / F.col("n_words"), 6))
 
 
+def _uncovered(shared, min_match: int, coverage: float):
+    """A column function: whether a text covers no item of a broadcast block enough."""
+
+    @F.pandas_udf("boolean")
+    def fine(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        seeds = Seeds(shared.value, min_match, coverage)
+        for part in parts:
+            yield pd.Series([not seeds.hits(t) for t in part.tolist()], dtype=bool)
+
+    return fine
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs, with all their columns, that cover no item of the benchmark enough. No shuffle."""
     for items in blocks(benchmark, block_words):
         shared = docs.sparkSession.sparkContext.broadcast(items)
-
-        @F.pandas_udf("boolean")
-        def fine(parts: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            seeds = Seeds(shared.value, min_match, coverage)
-            for part in parts:
-                yield pd.Series([not seeds.hits(t) for t in part.tolist()], dtype=bool)
-
-        docs = docs.where(fine(docs["text"].cast("string")))
+        docs = docs.where(_uncovered(shared, min_match, coverage)(docs["text"].cast("string")))
     return docs
