@@ -9,8 +9,9 @@
    ``SCREEN`` set bits, over five deviations out) go. The rest are confirmed on the full sets.
 4. Links are contracted to components by hooking and pointer jumping, on the executors.
 5. Members of a bucket that are still in different components meet a member of the bucket's main
-   component, a few rounds long, and at last every such pair that passes the screen is confirmed.
-   Only pairs inside one component are skipped; that they are linked is known already.
+   component, a few rounds long, and at last every such pair that passes the screen is confirmed
+   inside the join's condition. Only pairs inside one component are skipped; that they are linked
+   is known already.
 
 A hot bucket is never one task's: pivots and main components come from partial aggregates that are
 written, and what joins them are plain scans, which Spark can split. Set comparisons run as a
@@ -108,6 +109,11 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return _mix((s * _BAND).sum(axis=1) + np.arange(BANDS, dtype=np.uint64))
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    sizes = np.r_[0, np.cumsum([len(x) for x in arrays])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(arrays or [np.empty(0, np.uint64)]).view(np.int64)))
+
+
 SIGNATURE = "doc_id long, key string, n long, bands array<long>, " + ", ".join(f"s{i} long" for i in range(LANES))
 
 
@@ -127,10 +133,8 @@ def signatures(docs: DataFrame) -> DataFrame:
                     last[key] = (len(h), band_keys(s) if len(h) else np.empty(0, np.uint64), odd_sketch(s))
                 for col, x in zip((n, bands, lanes), last[key], strict=True):
                     col.append(x)
-            sizes = np.r_[0, np.cumsum([len(b) for b in bands])].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(bands or [np.empty(0, np.uint64)]).view(np.int64)))
             sk = np.array(lanes, np.uint64).reshape(-1, LANES).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), lists, *(pa.array(sk[:, i]) for i in range(LANES))], ["doc_id", "key", "n", "bands", *(f"s{i}" for i in range(LANES))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), _lists(bands), *(pa.array(sk[:, i]) for i in range(LANES))], ["doc_id", "key", "n", "bands", *(f"s{i}" for i in range(LANES))])
 
     return docs.select("doc_id", "key", "text").mapInArrow(sign, SIGNATURE)
 
@@ -164,12 +168,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             left, right = [], []
             a, star, b, kind = (batch.column(i).to_pylist() for i in range(4))
-            for i, h in enumerate(batch.column(4)):
-                mine = np.frombuffer(h.as_py(), np.uint64)
+            at_, flat = batch.column(4).offsets.to_numpy(), batch.column(4).values.to_numpy()
+            for i in range(batch.num_rows):
+                mine = flat[at_[i] : at_[i + 1]]
                 if (a[i], star[i]) != at:
                     at, pivots = (a[i], star[i]), []
                 if kind[i] == 0:
-                    pivots.append(mine)
+                    pivots.append(mine.copy())
                     continue
                 for p in pivots:
                     both = len(np.intersect1d(p, mine, assume_unique=True))
@@ -250,17 +255,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             break
         open_ = placed.join(mixed, "key")
         if k <= PIVOT_ROUNDS:
-            cand = open_.where("comp <> main").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-            cand = _screened(cand, sketches)
+            cand = _screened(open_.where("comp <> main").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), sketches)
+            for old in tried:
+                cand = cand.join(old.select("a", "b"), ["a", "b"], "left_anti")
+            deg = _with_degree(cand, scratch, f"star{k}")
+            tried.append(scratch.read(star.schema, f"star{k}"))
+            links.append(scratch.table(confirmed(deg, sets), f"links{k}"))
         else:
-            cand = _cross(scratch.table(open_, f"open{k}"), sketches)
-        for old in tried:
-            cand = cand.join(old.select("a", "b"), ["a", "b"], "left_anti")
-        deg = _with_degree(cand, scratch, f"star{k}")
-        tried.append(scratch.read(star.schema, f"star{k}"))
-        links.append(scratch.table(confirmed(deg, sets), f"links{k}"))
-        if links[-1].isEmpty() and k > PIVOT_ROUNDS:
-            break
+            links.append(scratch.table(_cross(scratch.table(open_, f"open{k}"), sketches, sets), f"links{k}"))
+        if links[-1].isEmpty():
+            continue
         comp = components(reduce(DataFrame.unionByName, links), scratch, f"c{k}")
     found = scratch.table(sig.select("key", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("comp", "rep").alias("comp")), "found")
     out = scratch.read(signed.schema, "signed").select("doc_id", "key", "n").join(found, "key", "left")
@@ -278,21 +282,27 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, scratch: Scrat
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _WordHash()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), seen).tobytes() for t in batch.column(1)], pa.binary())], ["rep", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingles(t.as_py(), seen) for t in batch.column(1)])], ["rep", "hashes"])
 
     wanted = scratch.table(classes.join(wanted, "rep").select("rep", "text_key"), "wanted")
     ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     chosen = docs.join(ids, (docs["doc_id"] == ids["rep"]) & (docs["key"] == ids["text_key"])).select("rep", "text")
-    return scratch.table(chosen.mapInArrow(hashes, "rep long, hashes binary"), "sets")
+    return scratch.table(chosen.mapInArrow(hashes, "rep long, hashes array<long>"), "sets")
 
 
-def _cross(open_: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Every pair of a bucket across components, one of them not in the main one, that passes the screen."""
-    lanes = [f"s{i}" for i in range(LANES)]
-    full = open_.join(sketches, "rep")
-    minor = full.where("comp <> main").select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), *(F.col(s).alias(f"a{i}") for i, s in enumerate(lanes)))
-    other = full.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("main").alias("mb"), F.col("n").alias("nb"), *(F.col(s).alias(f"b{i}") for i, s in enumerate(lanes)))
+def _cross(open_: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
+    """The linked pairs of a bucket across components, one of them not in the main one.
+
+    The sets travel with the bucket's rows, and the join's condition confirms a pair once sizes and
+    sketches leave it open: what the join makes is links only, however many pairs fail.
+    """
+    full = open_.join(sketches, "rep").join(sets, "rep")
+    side = lambda s: [F.col("rep").alias(s), F.col("comp").alias(f"c{s}"), F.col("n").alias(f"n{s}"), F.col("hashes").alias(f"h{s}"), *(F.col(f"s{i}").alias(f"{s}{i}") for i in range(LANES))]
+    minor = full.where("comp <> main").select("key", *side("a"))
+    other = full.select("key", F.col("main").alias("mb"), *side("b"))
     num, den = THRESHOLD
     sizes = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
     once = (F.col("cb") == F.col("mb")) | (F.col("a") < F.col("b"))
-    return minor.join(other, "key").where((F.col("ca") != F.col("cb")) & once & sizes & _close("a", "b")).select("a", "b").distinct()
+    both = F.size(F.array_intersect("ha", "hb"))
+    linked = both * (den + num) >= (F.col("na") + F.col("nb")) * num
+    return minor.join(other, (minor["key"] == other["key"]) & (F.col("ca") != F.col("cb")) & once & sizes & _close("a", "b") & linked).select("a", "b").distinct()
