@@ -4,7 +4,7 @@ A text is cut into segments (lines and sentences); each segment and, for long te
 text is normalised to lower-case words of a-z and 0-9 and compared with every template whose size
 leaves the threshold open: with A and B bigrams, 2 min(A, B) / (A + B) must reach it. Bigrams are sets.
 
-Before anything is cut, a text must hold one of the templates' anchors. They lose nothing: a
+Before anything is cut, a text must hold one of the templates' anchor words. They lose nothing: a
 segment that reaches the threshold shares at least o = ceil(t B / (2 - t)) of a template's B
 bigrams, so it holds one of any B - o + 1 of them.
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,12 +68,23 @@ def overlap_needed(size: int, threshold: float) -> int:
 
 
 def anchors(templates: dict[str, str], threshold: float) -> list[str]:
-    """Bigrams of which a matching text holds one at least: for each template its longest, as many as are needed."""
-    out: set[str] = set()
-    for text in templates.values():
-        b = bigrams_of(text)
-        out.update(sorted(b, key=lambda x: (-len(x), x))[: len(b) - overlap_needed(len(b), threshold) + 1])
-    return sorted(out)
+    """Words of which a matching text holds one at least.
+
+    A matching segment holds one of any B - o + 1 bigrams of its template, so words that stand in so
+    many of each template's bigrams are enough. They are chosen greedily; long words are rarer and
+    count double.
+    """
+    bigrams = {k: bigrams_of(v) for k, v in templates.items()}
+    needed = {k: len(b) - overlap_needed(len(b), threshold) + 1 for k, b in bigrams.items()}
+    chosen: list[str] = []
+
+    def missing(words: list[str]) -> int:
+        return sum(max(0, needed[k] - sum(any(w in x.split() for w in words) for x in b)) for k, b in bigrams.items())
+
+    every = sorted({w for b in bigrams.values() for x in b for w in x.split()})
+    while left := missing(chosen):
+        chosen.append(max(every, key=lambda w: ((left - missing([*chosen, w])) * (2 if len(w) > 5 else 1), len(w), w)))
+    return chosen
 
 
 def size_bounds(size: int, threshold: float) -> tuple[int, int]:
@@ -89,12 +101,20 @@ def _bigrams(normal: Column) -> Column:
     return F.array_distinct(F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
+def _holds(text: Column, word: str) -> Column:
+    """Whether a lower-cased text may hold a word; short ones are common inside others and need their bounds."""
+    there = text.contains(word)
+    return there if len(word) > 4 else there & text.rlike(rf"\b{word}\b")
+
+
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, license, dice, segment: the best segment for each row of docs and template that reaches the threshold."""
     templates = templates or TEMPLATES
     docs = texts(docs).where("text is not null")
-    anchor = "(?s).*(?:" + "|".join(r"\b" + a.replace(" ", "[^a-z0-9]+") + r"\b" for a in anchors(templates, threshold)) + ").*"
-    found = docs.where(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").rlike(anchor[len("(?s).*") : -len(".*")]))
+    words = anchors(templates, threshold)
+    # the array binds the lower-cased text, so that it is made once for all words
+    holds = F.exists(F.array(F.lower("text")), lambda t: reduce(lambda x, y: x | y, (_holds(t, w) for w in words)))
+    found = docs.where(holds)
     segments = F.split(F.regexp_replace("text", SENTENCE_END, "$1\n"), "\n")
     spans = found.withColumn("row", F.monotonically_increasing_id())
     spans = spans.select("doc_id", "row", F.explode(F.array_distinct(F.concat(F.array("text"), segments))).alias("segment"))
