@@ -72,7 +72,7 @@ def anchors(templates: dict[str, str], threshold: float) -> list[str]:
 
     A matching segment holds one of any B - o + 1 bigrams of its template, so words that stand in so
     many of each template's bigrams are enough. They are chosen greedily; long words are rarer and
-    count double.
+    count more.
     """
     bigrams = {k: bigrams_of(v) for k, v in templates.items()}
     needed = {k: len(b) - overlap_needed(len(b), threshold) + 1 for k, b in bigrams.items()}
@@ -83,7 +83,7 @@ def anchors(templates: dict[str, str], threshold: float) -> list[str]:
 
     every = sorted({w for b in bigrams.values() for x in b for w in x.split()})
     while left := missing(chosen):
-        chosen.append(max(every, key=lambda w: ((left - missing([*chosen, w])) * (2 if len(w) > 5 else 1), len(w), w)))
+        chosen.append(max(every, key=lambda w: ((left - missing([*chosen, w])) * (10 if len(w) > 5 else 4 if len(w) > 3 else 1), len(w), w)))
     return chosen
 
 
