@@ -96,11 +96,25 @@ def _normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " "))
 
 
-def _bigrams(normal: Column) -> Column:
-    w = F.split(normal, " ")
+def _bigrams(w: Column) -> Column:
+    """Distinct bigrams of an array of words."""
     return F.array_distinct(F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
+def _best(b: Column, templates: dict[str, str], threshold: float) -> Column:
+    """The best template's dice and name for an array of bigrams; null if none reaches the threshold.
+
+    Sizes are compared first: array_intersect runs for the templates that their bounds leave open.
+    """
+    hits = []
+    for name, text in templates.items():
+        t = bigrams_of(text)
+        low, high = size_bounds(len(t), threshold)
+        dice = F.when(F.size(b).between(low, high), 2.0 * F.size(F.array_intersect(b, F.array(*map(F.lit, t)))) / (F.size(b) + len(t)))
+        hits.append(F.struct(dice.alias("dice"), F.lit(name).alias("license")))
+    return F.array_max(F.filter(F.array(*hits), lambda h: h["dice"] >= threshold))
+
+
 def _holds(text: Column, word: str) -> Column:
     """Whether a lower-cased text may hold a word; short ones are common inside others and need their bounds."""
     there = text.contains(word)
@@ -116,17 +130,13 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, th
     holds = F.exists(F.array(F.lower("text")), lambda t: reduce(lambda x, y: x | y, (_holds(t, w) for w in words)))
     found = docs.where(holds)
     segments = F.split(F.regexp_replace("text", SENTENCE_END, "$1\n"), "\n")
+    # the outer form: for the other one Spark infers a filter on the segments and cuts every text to evaluate it
     spans = found.withColumn("row", F.monotonically_increasing_id())
-    spans = spans.select("doc_id", "row", F.explode(F.array_distinct(F.concat(F.array("text"), segments))).alias("segment"))
-    spans = spans.withColumn("bigrams", _bigrams(_normal(F.col("segment")))).withColumn("n", F.size("bigrams")).where("n > 0")
-    hits = []
-    for name, text in templates.items():
-        b = bigrams_of(text)
-        low, high = size_bounds(len(b), threshold)
-        shared = F.size(F.array_intersect("bigrams", F.array(*map(F.lit, b))))
-        dice = F.when(F.col("n").between(low, high), 2.0 * shared / (F.col("n") + len(b)))
-        hits.append(F.struct(dice.alias("dice"), F.lit(name).alias("license")))
-    scored = spans.select("doc_id", "row", "segment", F.array_max(F.filter(F.array(*hits), lambda h: h["dice"] >= threshold)).alias("h")).where("h is not null")
+    spans = spans.select("doc_id", "row", F.explode_outer(F.array_distinct(F.concat(F.array("text"), segments))).alias("segment"))
+    # arrays of one element bind an intermediate result, so that it is made once
+    words = F.array(F.split(_normal(F.col("segment")), " "))
+    hit = F.transform(F.transform(words, _bigrams), lambda b: _best(b, templates, threshold))
+    scored = spans.select("doc_id", "row", "segment", F.explode_outer(hit).alias("h")).where("h is not null")
     best = scored.groupBy("row", "doc_id", F.col("h.license").alias("license")).agg(F.min(F.struct((-F.col("h.dice")).alias("neg"), "segment")).alias("m"))
     return best.select("doc_id", "license", F.round(-F.col("m.neg"), 6).alias("dice"), F.col("m.segment").alias("segment"))
 
