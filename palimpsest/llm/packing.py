@@ -36,9 +36,13 @@ ROUNDS = 8
 CACHE = 1 << 19
 
 #: Characters for which lower() and the tokenizer's normaliser agree one by one and NFC changes nothing.
+_ASCII = bytes([9, 10, 13, *range(32, 127)])
 _PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e¡-¬®-ÿŒœ–—‘-„…€]*")
-#: The pre-tokenizer's pattern over those characters (fixed value of the vocabulary file).
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9²³¹¼-¾]|(?:[^\s\w]|_)+")
+#: The pre-tokenizer's pattern, written for those characters in lower case.
+_CONTRACTION = "'(?:[stmd]|re|ve|ll)"
+_ASCII_WORDS = re.compile(rf"{_CONTRACTION}|[a-z]+|[0-9]|[^\sa-z0-9]+")
+_LETTERS, _DIGITS = "a-zªµºß-öø-ÿœ", "0-9²³¹¼-¾"
+_WORDS = re.compile(rf"{_CONTRACTION}|[{_LETTERS}]+|[{_DIGITS}]|[^\s{_LETTERS}{_DIGITS}]+")
 
 
 class WordIds(dict):
@@ -67,8 +71,12 @@ def word_splitting(tok) -> bool:
 
 def ids_of(tok, cache: WordIds | None, text: str) -> bytes:
     """Little-endian 32-bit ids. Texts of plain characters go word by word, others as a whole."""
-    if cache is not None and "<|" not in text and _PLAIN.fullmatch(text):
-        return b"".join(map(cache.__getitem__, _WORDS.findall(text.lower())))
+    if cache is not None and "<|" not in text:
+        if text.isascii():
+            if not text.encode().translate(None, _ASCII):
+                return b"".join(map(cache.__getitem__, _ASCII_WORDS.findall(text.lower())))
+        elif _PLAIN.fullmatch(text):
+            return b"".join(map(cache.__getitem__, _WORDS.findall(text.lower())))
     return array("I", tok.encode(text, add_special_tokens=False).ids).tobytes()
 
 
