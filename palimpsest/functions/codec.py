@@ -69,8 +69,8 @@ class MembershipFilter:
     def _places(self, key: bytes) -> np.ndarray:
         import hashlib
 
-        a, b = np.frombuffer(hashlib.blake2b(key, digest_size=16).digest(), np.uint64)
-        return ((int(a) + np.arange(self.probes, dtype=object) * (int(b) | 1)) % self.size).astype(np.int64)
+        blocks = (hashlib.blake2b(key, digest_size=64, salt=bytes([i])).digest() for i in range(-(-self.probes // 8)))
+        return (np.frombuffer(b"".join(blocks), np.uint64)[: self.probes] % np.uint64(self.size)).astype(np.int64)
 
     def might_contain(self, key: bytes) -> bool:
         return not self.probes or bool(self.bits[self._places(key)].all())

@@ -19,6 +19,7 @@ class File:
     min_seq: int
     max_seq: int
     bytes_in: int = 0
+    name: str = ""
     parts: tuple = field(default=())
 
 

@@ -8,6 +8,7 @@ of files; files that an open snapshot or a young version may read are not remove
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -95,7 +96,7 @@ class Store:
         else:
             self.state = self.manifest.load()
         for f in self.state.files:
-            if not self.files.exists(f"segments/{f.num:08d}"):
+            if not self.files.exists(f"segments/{f.name}"):
                 raise Corruption(f"segment {f.num} is missing")
 
     # writes
@@ -121,7 +122,8 @@ class Store:
         if batch_id is not None and batch_id in self.state.batches:
             return self.state.last_seq
         num = self.state.next_file
-        staged, n = self._numbered(batch, num)
+        staging = f"tmp/{num:08d}-{uuid.uuid4().hex[:12]}"
+        staged, n = self._numbered(batch, staging)
         if not n:
             return self.state.last_seq
         if self.state.last_seq + n > MAX_SEQ:
@@ -129,25 +131,25 @@ class Store:
         file = self._write_segment(staged, num, 0, n)
         last = self.state.last_seq + n
         self.state = self.manifest.commit(self.state, [file], [], last, num + 1, (batch_id,) if batch_id is not None else ())
-        self.files.remove(f"tmp/{num:08d}")
+        self.files.remove(staging)
         self.counters["bytes_in"] += file.bytes_in
         self.counters["commits"] += 1
         if self.options.auto_compact:
             self.compact_until_quiet()
         return last
 
-    def _numbered(self, batch: DataFrame, num: int) -> tuple[DataFrame, int]:
+    def _numbered(self, batch: DataFrame, staging: str) -> tuple[DataFrame, int]:
         """Rows with consecutive numbers: range-partitioned by pos, numbered in each partition, offsets from the counts."""
         rows = batch.select(F.col("pos").cast("long").alias("pos"), F.col("key").cast("binary").alias("key"), F.col("kind").cast("int").alias("kind"), F.col("value").cast("binary").alias("value"))
         bad = F.col("key").isNull() | F.col("kind").isNull() | ~F.col("kind").isin(0, 1) | ((F.col("kind") == 1) & F.col("value").isNull())
         n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         placed = rows.repartitionByRange(n, "pos").sortWithinPartitions("pos").select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("i"), bad.alias("bad"))
-        path = f"{self.files.root}/tmp/{num:08d}"
+        path = f"{self.files.root}/{staging}"
         placed.write.mode("overwrite").parquet(path)
         placed = self.spark.read.schema(placed.schema).parquet(path)
         counts = {r["part"]: (r["n"], r["bad"]) for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.max("bad").alias("bad")).collect()}
         if any(b for _, b in counts.values()):
-            self.files.remove(f"tmp/{num:08d}")
+            self.files.remove(staging)
             raise StoreError("a batch needs a key, a kind of 0 or 1, and a value for every put")
         at, offsets = self.state.last_seq + 1, {}
         for part in sorted(counts):
@@ -157,25 +159,26 @@ class Store:
         return placed.select("key", (start + F.col("i")).cast("long").alias("seq"), "kind", "value"), at - self.state.last_seq - 1
 
     def _write_segment(self, rows: DataFrame, num: int, level: int, count: int) -> File:
-        path = f"{self.files.root}/segments/{num:08d}"
+        name = f"{num:08d}-{uuid.uuid4().hex[:12]}"  # two writers may take the same number; only one's commit names its folder
+        path = f"{self.files.root}/segments/{name}"
         size = rows.agg(F.sum(F.octet_length("key").cast("long") + F.coalesce(F.octet_length("value"), F.lit(0)))).first()[0] or 0
         pieces = max(1, -(-size // self.options.target_file_bytes))
         out = rows.repartitionByRange(pieces, "key") if pieces > 1 else rows.coalesce(1)
-        writer = out.sortWithinPartitions(F.asc("key"), F.desc("seq")).write.mode("overwrite")
+        writer = out.sortWithinPartitions(F.asc("key"), F.desc("seq")).write
         if self.options.bloom:
             writer = writer.option("parquet.bloom.filter.enabled#key", "true")
         writer.parquet(path)
         m = self.spark.read.schema(SCHEMA).parquet(path).agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count(F.lit(1)).alias("n"), F.min("seq").alias("s"), F.max("seq").alias("t")).first()
         if m["n"] != count:
             raise Corruption(f"segment {num} has {m['n']} rows, {count} were written")
-        parts = tuple((r["name"], r["length"], r["sha"]) for r in self._sums(num).collect())
+        parts = tuple((r["name"], r["length"], r["sha"]) for r in self._sums(name).collect())
         total = sum(x[1] for x in parts)
         self.counters["bytes_written"] += total
-        return File(num, level, total, bytes(m["a"] or b""), bytes(m["b"] or b""), m["n"], m["s"] or 0, m["t"] or 0, size, parts)
+        return File(num, level, total, bytes(m["a"] or b""), bytes(m["b"] or b""), m["n"], m["s"] or 0, m["t"] or 0, size, name, parts)
 
-    def _sums(self, num: int) -> DataFrame:
+    def _sums(self, name: str) -> DataFrame:
         """name, length and SHA-256 of a segment's parts."""
-        raw = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{self.files.root}/segments/{num:08d}")
+        raw = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{self.files.root}/segments/{name}")
         return raw.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("sha"))
 
     # reads
@@ -187,7 +190,7 @@ class Store:
         self.counters["files_touched"] += len(files)
         if not files:
             return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(*(f"{self.files.root}/segments/{f.num:08d}" for f in files))
+        return self.spark.read.schema(SCHEMA).parquet(*(f"{self.files.root}/segments/{f.name}" for f in files))
 
     def _scan(self, state: State, start, end, seq: int) -> DataFrame:
         return mvcc.scan(self.log(state, start, end, seq), start, end, seq).select("key", "value").orderBy("key")
@@ -236,7 +239,7 @@ class Store:
         lo, hi = min(f.smallest for f in inputs), max(f.largest for f in inputs)
         inputs += overlapping(list(self.state.files), level + 1, lo, hi)
         self._verify(inputs)
-        paths = [f"{self.files.root}/segments/{f.num:08d}" for f in inputs]
+        paths = [f"{self.files.root}/segments/{f.name}" for f in inputs]
         merged = self.spark.read.schema(SCHEMA).parquet(*paths)
         if merged.count() != sum(f.count for f in inputs):
             raise Corruption("a compaction's inputs don't have the rows that the manifest says")
@@ -263,11 +266,11 @@ class Store:
     def collect_garbage(self, grace_s: float = 0.0) -> list[str]:
         """Remove segments and temporary files that neither the state nor an open snapshot names, if older than grace_s."""
         self._writable()
-        named = {f.num for s in (self.state, *(x.state for x in self.snapshots)) for f in s.files}
+        named = {f.name for s in (self.state, *(x.state for x in self.snapshots)) for f in s.files}
         removed, now = [], time.time() * 1000
         for folder in ("segments", "tmp"):
             for name in self.files.names(folder):
-                if folder == "segments" and (not name.isdigit() or int(name) in named):
+                if folder == "segments" and name in named:
                     continue
                 if now - self.files.fs.getFileStatus(self.files.path(f"{folder}/{name}")).getModificationTime() >= grace_s * 1000:
                     self.files.remove(f"{folder}/{name}")
@@ -281,7 +284,7 @@ class Store:
 
     def _verify(self, files: list[File]) -> None:
         for f in files:
-            got = {(r["name"], r["length"], r["sha"]) for r in self._sums(f.num).collect()}
+            got = {(r["name"], r["length"], r["sha"]) for r in self._sums(f.name).collect()}
             if got != set(f.parts):
                 raise Corruption(f"segment {f.num} differs from the manifest")
 
