@@ -76,30 +76,47 @@ def trigrams(word: str) -> list[str]:
     return [padded[i : i + 3] for i in range(len(padded) - 2)] if len(padded) > 2 else [padded]
 
 
+class _WordRows(dict):
+    """Row numbers of words in a matrix of log likelihoods, filled as words are met."""
+
+    def __init__(self, model: TextModel):
+        super().__init__()
+        self.model, self.rows = model, np.empty((WORD_ROWS, len(model.languages)))
+
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self)
+        if at == len(self.rows):  # one text has more new words than rows: it is finished in a larger matrix
+            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+        get, unseen = self.model.number.get, len(self.model.logs) - 1
+        self.rows[at] = self.model.logs[[get(t, unseen) for t in trigrams(word)]].sum(axis=0)
+        return at
+
+
+#: Words of a worker's matrix; between texts it is started anew beyond.
+WORD_ROWS = 1 << 18
+
+
 class TextModel:
-    """Log likelihoods of words: the sum over their trigrams; kept for the words seen before."""
+    """Log likelihoods of words: the sum over their trigrams; kept for the words seen before.
+
+    logs: a row for each known trigram, the last for all others. number: a trigram's row.
+    """
 
-    def __init__(self, languages: list[str], table: dict[str, list[float]], unseen: list[float]):
-        self.languages, self.table, self.unseen = languages, table, np.array(unseen)
+    def __init__(self, languages: list[str], known: list[str], logs: np.ndarray):
+        self.languages, self.number, self.logs = languages, {t: i for i, t in enumerate(known)}, logs
 
     def start(self) -> None:
-        self.rows, self.at = [], {}
+        self.seen = _WordRows(self)
 
     def likelihood(self, text: str | None) -> tuple[int, np.ndarray]:
         """Number of words and the tempered log likelihood for each language."""
         words = _WORD.findall(text.lower()) if text else []
         if not words:
             return 0, np.zeros(len(self.languages))
-        if len(self.at) > 1 << 18:
+        if len(self.seen) > WORD_ROWS // 2:
             self.start()
-        seen = Counter(words)
-        total = np.zeros(len(self.languages))
-        for w, n in seen.items():
-            v = self.at.get(w)
-            if v is None:
-                v = self.at[w] = sum((self.table.get(t, self.unseen) for t in trigrams(w)), np.zeros(len(self.languages)))
-            total += n * v
-        return len(words), total / len(words) * min(TEXT_WORDS, len(words) ** 0.5)
+        at = np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
+        return len(words), self.seen.rows[at].mean(axis=0) * min(TEXT_WORDS, len(words) ** 0.5)
 
 
 def train(rows: DataFrame, languages: list[str] | None = None, train_rows: int = TRAIN_ROWS) -> TextModel:
@@ -130,14 +147,14 @@ def train(rows: DataFrame, languages: list[str] | None = None, train_rows: int =
     per = {r["lang"]: r["n"] for r in counts.where(F.col("t") == "\0rows").orderBy(F.desc("n"), "lang").limit(256).collect()}
     languages = languages or sorted(x for x, n in per.items() if n >= 0.01 * sum(per.values()))
     if not languages:
-        return TextModel(["und"], {}, [0.0])
+        return TextModel(["und"], [], np.zeros((1, 1)))
     known = counts.where((F.col("t") != "\0rows") & F.col("lang").isin(languages))
     wide = known.groupBy("t").agg(F.sum("n").alias("n"), *(F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(languages)))
     top = wide.orderBy(F.desc("n"), "t").limit(TRIGRAMS).toPandas()  # the model's size
     n = top[[f"n{i}" for i in range(len(languages))]].to_numpy(float)
     totals = n.sum(0) + 0.5 * (len(n) + 1)
     logs = np.log((n + 0.5) / totals)
-    return TextModel(languages, dict(zip(top["t"], logs, strict=True)), np.log(0.5 / totals).tolist())
+    return TextModel(languages, top["t"].tolist(), np.vstack([logs, np.log(0.5 / totals)]))
 
 
 def _smoothed(counts: DataFrame, key: str, parent: str | None, k: int) -> DataFrame:
