@@ -115,11 +115,11 @@ class TextModel:
             return 0, np.zeros(len(self.languages))
         if len(self.seen) > WORD_ROWS // 2:
             self.start()
-        at = np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
-        return len(words), self.seen.rows[at].mean(axis=0) * min(TEXT_WORDS, len(words) ** 0.5)
+        at = np.array([self.seen[w] for w in words])
+        return len(words), np.ones(len(at)) @ self.seen.rows.take(at, axis=0) / len(at) * min(TEXT_WORDS, len(words) ** 0.5)
 
 
-def train(rows: DataFrame, languages: list[str] | None = None, train_rows: int = TRAIN_ROWS) -> TextModel:
+def train(rows: DataFrame, scratch: Scratch, languages: list[str] | None = None, train_rows: int = TRAIN_ROWS) -> TextModel:
     """From a sample, by a hash of id and text, of about train_rows rows that declare a language.
 
     Without a list, the languages are those that a hundredth of these rows declare.
@@ -143,7 +143,7 @@ def train(rows: DataFrame, languages: list[str] | None = None, train_rows: int =
         cols = list(zip(*flat, strict=True)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], ["lang", "t", "n"])
 
-    counts = sample.mapInArrow(count, "lang string, t string, n long").groupBy("lang", "t").agg(F.sum("n").alias("n"))
+    counts = scratch.table(sample.mapInArrow(count, "lang string, t string, n long").groupBy("lang", "t").agg(F.sum("n").alias("n")), "trigrams")
     per = {r["lang"]: r["n"] for r in counts.where(F.col("t") == "\0rows").orderBy(F.desc("n"), "lang").limit(256).collect()}
     languages = languages or sorted(x for x, n in per.items() if n >= 0.01 * sum(per.values()))
     if not languages:
@@ -168,7 +168,7 @@ def identify(rows: DataFrame, languages: list[str] | None = None, train_rows: in
     spark = rows.sparkSession
     scratch = Scratch(spark, "langid")
     rows = rows.select(*EVIDENCE)
-    model = train(rows, languages, train_rows)
+    model = train(rows, scratch, languages, train_rows)
     names, k = model.languages, len(model.languages)
     shared = spark.sparkContext.broadcast(model)
 
