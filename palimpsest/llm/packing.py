@@ -74,9 +74,9 @@ def ids_of(tok, cache: WordIds | None, text: str) -> bytes:
     if cache is not None and "<|" not in text:
         if text.isascii():
             if not text.encode().translate(None, _ASCII):
-                return b"".join(map(cache.__getitem__, _ASCII_WORDS.findall(text.lower())))
+                return b"".join([cache[w] for w in _ASCII_WORDS.findall(text.lower())])
         elif _PLAIN.fullmatch(text):
-            return b"".join(map(cache.__getitem__, _WORDS.findall(text.lower())))
+            return b"".join([cache[w] for w in _WORDS.findall(text.lower())])
     return array("I", tok.encode(text, add_special_tokens=False).ids).tobytes()
 
 
