@@ -78,7 +78,7 @@ def shingles(text: bytes | None, seen: dict, words: int = WORDS) -> np.ndarray:
     got = text.lower().split() if text else []
     if not got:
         return np.empty(0, np.uint64)
-    w = np.fromiter(map(seen.__getitem__, got), np.uint64, len(got))
+    w = np.array([seen[x] for x in got], np.uint64)
     mult = _WORD_MULT if words == WORDS else np.random.default_rng(words).integers(1, 2**63, words, dtype=np.uint64) | np.uint64(1)
     if len(w) < words:
         return _mix((w * mult[: len(w)]).sum(keepdims=True) + np.uint64(len(w)))
