@@ -144,7 +144,7 @@ def clause_scores(text: str | None, lexicon: Lexicon) -> list[tuple[str, list[fl
     if not text:
         return []
     words = _TOKEN.findall(text.lower())
-    codes = bytes(map(lexicon.__getitem__, words))
+    codes = bytes([lexicon[w] for w in words])
     out, done = [], 0
     for m in _HOT.finditer(codes):
         if m.start() < done:
