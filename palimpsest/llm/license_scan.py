@@ -10,8 +10,9 @@ bigrams, so it holds one of any B - o + 1 of them.
 
 Defined results: null, empty and wordless texts match nothing; a segment under two words has no
 bigram and matches nothing; a segment counts for its best template only (ties to the last name); each row
-of the table gives a row per template found, with its best segment (ties to the first in binary order);
-rows with null ids keep them.
+of the table gives a row per template found, with its best segment (ties to the first in binary order),
+or, if no segment shows it, its best window (ties to the first place); rows with null ids keep them.
+``license_sql`` states the segments' part alone.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ import math
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import Scratch, texts
 
 THRESHOLD = 0.8
 
@@ -128,17 +129,67 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, th
     words = anchors(templates, threshold)
     # the array binds the lower-cased text, so that it is made once for all words
     holds = F.exists(F.array(F.lower("text")), lambda t: reduce(lambda x, y: x | y, (_holds(t, w) for w in words)))
-    found = docs.where(holds)
+    # written once: rows are numbered, and read by segments and by windows
+    found = Scratch(docs.sparkSession, "licenses").table(docs.where(holds).withColumn("row", F.monotonically_increasing_id()), "found")
+    by_segment = _by_segment(found, templates, threshold)
+    by_window = _by_window(found, templates, threshold)
+    more = by_window.join(by_segment.select("row", "license"), ["row", "license"], "left_anti")
+    out = by_segment.unionByName(more)
+    return out.select("doc_id", "license", F.round(-F.col("m.neg"), 6).alias("dice"), F.col("m.segment").alias("segment"))
+
+
+def _by_segment(found: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
+    """row, doc_id, license, m (neg, segment): the best of lines, sentences and whole texts."""
     segments = F.split(F.regexp_replace("text", SENTENCE_END, "$1\n"), "\n")
     # the outer form: for the other one Spark infers a filter on the segments and cuts every text to evaluate it
-    spans = found.withColumn("row", F.monotonically_increasing_id())
-    spans = spans.select("doc_id", "row", F.explode_outer(F.array_distinct(F.concat(F.array("text"), segments))).alias("segment"))
+    spans = found.select("doc_id", "row", F.explode_outer(F.array_distinct(F.concat(F.array("text"), segments))).alias("segment"))
     # arrays of one element bind an intermediate result, so that it is made once
     words = F.array(F.split(_normal(F.col("segment")), " "))
     hit = F.transform(F.transform(words, _bigrams), lambda b: _best(b, templates, threshold))
     scored = spans.select("doc_id", "row", "segment", F.explode_outer(hit).alias("h")).where("h is not null")
-    best = scored.groupBy("row", "doc_id", F.col("h.license").alias("license")).agg(F.min(F.struct((-F.col("h.dice")).alias("neg"), "segment")).alias("m"))
-    return best.select("doc_id", "license", F.round(-F.col("m.neg"), 6).alias("dice"), F.col("m.segment").alias("segment"))
+    return scored.groupBy("row", "doc_id", F.col("h.license").alias("license")).agg(F.min(F.struct((-F.col("h.dice")).alias("neg"), "segment")).alias("m"))
+
+
+def _by_window(found: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
+    """row, doc_id, license, m (neg, segment): the best windows of words that overlap no better one."""
+    known = {k: b for k, v in templates.items() if (b := bigrams_of(v))}
+    table = [(k, x, overlap_needed(len(b), threshold), size_bounds(len(b), threshold)[1]) for k, b in known.items() for x in b]
+    bigrams = F.broadcast(found.sparkSession.createDataFrame(table, "license string, bigram string, need int, high int"))
+    w = F.array(F.split(_normal(F.col("text")), " "))
+    pairs = F.transform(w, lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b)))[0]
+    hits = found.select("row", F.posexplode(pairs).alias("at", "bigram")).join(bigrams, "bigram")
+    # for each hit, where the last of the needed hits from it on lies: beyond high the window can't reach the threshold
+    hits = hits.groupBy("row", "license", "need", "high").agg(F.array_sort(F.collect_list("at")).alias("at")).where(F.size("at") >= F.col("need"))
+    starts = F.filter("at", lambda x, i: F.coalesce(F.try_element_at("at", i + F.col("need")) - x < F.col("high"), F.lit(False)))
+    spots = hits.withColumn("starts", starts).where(F.size("starts") > 0)
+    raw = spots.join(found, "row").withColumn("raw", F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+[^A-Za-z0-9]*"), F.lit(0)))
+
+    def window(x: Column) -> Column:
+        ends = F.transform(F.filter("at", lambda e: (e >= x) & (e < x + F.col("high"))), lambda e: e - x + 1)
+        return F.struct(x.alias("first"), F.slice(F.col("raw"), x + 1, F.col("high") + 1).alias("raw"), ends.alias("ends"))
+
+    cut = raw.select("row", "doc_id", "license", F.explode(F.transform("starts", window)).alias("s")).select("row", "doc_id", "license", "s.*")
+    cut = cut.withColumn("w", F.transform("raw", lambda x: F.translate(F.regexp_extract(x, "[A-Za-z0-9]+", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    own = F.broadcast(found.sparkSession.createDataFrame(list(known.items()), "license string, own array<string>"))
+
+    def dice(n: Column) -> Column:
+        parts = F.transform(F.array(_bigrams(F.slice(F.col("w"), 1, n + 1))), lambda b: 2.0 * F.size(F.array_intersect(b, F.col("own"))) / (F.size(b) + F.size("own")))
+        return F.struct(parts[0].alias("dice"), (-n).alias("short"))
+
+    best = cut.join(own, "license").withColumn("b", F.array_max(F.transform("ends", dice))).where(F.col("b.dice") >= threshold)
+    said = F.regexp_replace(F.array_join(F.slice("raw", 1, 1 - F.col("b.short")), ""), "[^A-Za-z0-9]+$", "")
+    spans = best.select("row", "doc_id", "license", F.col("b.dice").alias("dice"), "first", (F.col("first") - F.col("b.short")).alias("last"), said.alias("segment"))  # words, ends included
+    # chains of windows that overlap, in each of them the best first
+    ordered = Window.partitionBy("row").orderBy("first", "last", "license")
+    new = F.coalesce((F.col("first") > F.max("last").over(ordered.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(0))
+    chains = spans.withColumn("new", new).withColumn("chain", F.sum("new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    all_of = F.collect_list(F.struct("dice", "license", (-F.col("first")).alias("early"), "last", "segment"))
+    chains = chains.groupBy("row", "doc_id", "chain").agg(F.sort_array(all_of, asc=False).alias("c"))
+    none = F.slice("c", 1, 0)
+    kept = F.aggregate("c", none, lambda kept, x: F.when(F.exists(kept, lambda y: (-y["early"] <= x["last"]) & (y["last"] >= -x["early"])), kept).otherwise(F.concat(kept, F.array(x))))
+    each = chains.select("row", "doc_id", F.explode(kept).alias("k"))
+    top = each.groupBy("row", "doc_id", F.col("k.license").alias("license")).agg(F.min(F.struct((-F.col("k.dice")).alias("neg"), (-F.col("k.early")).alias("first"), F.col("k.segment").alias("segment"))).alias("m"))
+    return top.select("row", "doc_id", "license", F.struct("m.neg", "m.segment").alias("m"))
 
 
 def license_sql(templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> str:

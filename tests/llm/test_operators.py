@@ -218,6 +218,18 @@ def test_licenses(spark, nothing):
     assert license_scan.license_matches(nothing).collect() == []
 
 
+def test_wrapped_licenses(spark):
+    import textwrap
+
+    t = license_scan.TEMPLATES
+    filler = "".join(f"w{i} x{i}\n" for i in range(200))
+    wrapped = {k: filler + textwrap.fill(t[k], 60) + ":\n" + filler for k in ("MIT-grant", "ISC-grant", "BSD-grant", "GPL-notice")}
+    rows = [*wrapped.values(), "This project is released under the MIT License.", filler + "This work is licensed under\nthe GNU Lesser General Public License,\nversion 3. End"]
+    got = {(r["doc_id"], r["license"]): r for r in license_scan.license_matches(make_docs(spark, rows)).collect()}
+    assert set(got) == {*enumerate(wrapped), (4, "MIT"), (5, "LGPL-3.0")}
+    assert all(r["dice"] == 1.0 for r in got.values()) and got[4, "MIT"]["segment"] == "released under the MIT License"
+
+
 def test_license_anchors_lose_nothing():
     words = license_scan.anchors(license_scan.TEMPLATES, 0.8)
     rng = random.Random(1)
