@@ -2,8 +2,8 @@
 
 posterior(l) ~ P(text | l)^tempered * P(declared | l) * P(suffix | l) * P(l | host)
 
-- Text: character trigrams of each word, multinomial, trained on a bounded sample of rows by their
-  declared language. Words of a text are not independent, so the mean log likelihood of a word
+- Text: character trigrams of each word, multinomial, trained on a bounded sample of rows of every
+  declared language, however few declare it. Words of a text are not independent, so the mean log likelihood of a word
   counts as often as the square root of the number of words, ``TEXT_WORDS`` times at most.
 - Declared language (a markup's or a column's) and address suffix: how often each value goes with
   each language, over all rows, smoothed.
@@ -14,7 +14,11 @@ The tables of the last two are grouped aggregates over all rows, of what the tex
 table of hosts is joined, never collected, and a hot host is split by Spark since both sides are
 plain scans.
 
-A row is accepted if its text has words and the posterior reaches ``ACCEPT``.
+``UNKNOWN`` is a language like the others for text of none of them: each trigram has the same
+likelihood, between those of the languages' own texts and of texts read as the next best language.
+It takes its part of the posterior but is never named, unless nothing is declared in the whole table.
+
+A row is accepted if its text has words and the posterior of its best known language reaches ``ACCEPT``.
 
 Defined results: a null, empty or letterless text has no words: its language is that of the other
 evidence, and it isn't accepted; null declared values, suffixes and hosts are values like others,
@@ -36,7 +40,11 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 TRAIN_ROWS = 20_000
+#: Rows of each language at least, where it has so many, and trigrams of the model for each.
+LANGUAGE_ROWS, LANGUAGE_TRIGRAMS = 200, 500
 TRIGRAMS = 20_000
+#: The name of no modelled language; as a declared tag it says the same.
+UNKNOWN = "und"
 TEXT_WORDS = 12
 PRIOR = 20.0
 ACCEPT = 0.5
@@ -81,7 +89,7 @@ class _WordRows(dict):
 
     def __init__(self, model: TextModel):
         super().__init__()
-        self.model, self.rows = model, np.empty((WORD_ROWS, len(model.languages)))
+        self.model, self.rows = model, np.empty((model.word_rows, len(model.languages)))
 
     def __missing__(self, word: str) -> int:
         at = self[word] = len(self)
@@ -92,8 +100,8 @@ class _WordRows(dict):
         return at
 
 
-#: Words of a worker's matrix; between texts it is started anew beyond.
-WORD_ROWS = 1 << 18
+#: Numbers in a worker's matrix of words; between texts it is started anew beyond half.
+WORD_CELLS = 1 << 20
 
 
 class TextModel:
@@ -104,6 +112,7 @@ class TextModel:
 
     def __init__(self, languages: list[str], known: list[str], logs: np.ndarray):
         self.languages, self.number, self.logs = languages, {t: i for i, t in enumerate(known)}, logs
+        self.word_rows = max(1 << 10, WORD_CELLS // len(languages))
 
     def start(self) -> None:
         self.seen = _WordRows(self)
@@ -113,7 +122,7 @@ class TextModel:
         words = _WORD.findall(text.lower()) if text else []
         if not words:
             return 0, np.zeros(len(self.languages))
-        if len(self.seen) > WORD_ROWS // 2:
+        if len(self.seen) > self.word_rows // 2:
             self.start()
         at = np.array([self.seen[w] for w in words])
         return len(words), np.ones(len(at)) @ self.seen.rows.take(at, axis=0) / len(at) * min(TEXT_WORDS, len(words) ** 0.5)
@@ -122,20 +131,25 @@ class TextModel:
 def train(rows: DataFrame, scratch: Scratch, languages: list[str] | None = None, train_rows: int = TRAIN_ROWS) -> TextModel:
     """From a sample, by a hash of id and text, of about train_rows rows that declare a language.
 
-    Without a list, the languages are those that a hundredth of these rows declare.
+    Without a list, the languages are all that are declared. Each gives its share of the rows, but as
+    many as an equal part and ``LANGUAGE_ROWS`` where it has them. The last language is ``UNKNOWN``.
     """
     declared = rows.where("declared is not null and text is not null")
-    total = declared.count()
-    share = min(1.0, train_rows / max(1, total))
-    part = F.pmod(F.xxhash64("id", F.length("text")), F.lit(1 << 20)) / float(1 << 20)
-    sample = declared.where(part < share).select("declared", "text")
+    per = {r["declared"]: r["count"] for r in declared.groupBy("declared").count().collect()}
+    languages = sorted(set(languages or per) - {UNKNOWN})
+    if not languages:
+        return TextModel([UNKNOWN], [], np.zeros((1, 1)))
+    least = max(LANGUAGE_ROWS, train_rows / len(languages))
+    shares = [(x, min(1.0, max(train_rows / sum(per.values()), least / per[x]))) for x in languages if x in per]
+    part = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) / float(1 << 20)
+    shares = F.broadcast(rows.sparkSession.createDataFrame(shares, "declared string, share double"))
+    sample = declared.join(shares, "declared").where(part < F.col("share")).select("declared", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 c = seen.setdefault(lang, Counter())
-                c["\0rows"] += 1
                 for w, n in Counter(_WORD.findall(text.as_py().lower())).items():
                     for t in trigrams(w):
                         c[t] += n
@@ -144,17 +158,30 @@ def train(rows: DataFrame, scratch: Scratch, languages: list[str] | None = None,
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], ["lang", "t", "n"])
 
     counts = scratch.table(sample.mapInArrow(count, "lang string, t string, n long").groupBy("lang", "t").agg(F.sum("n").alias("n")), "trigrams")
-    per = {r["lang"]: r["n"] for r in counts.where(F.col("t") == "\0rows").orderBy(F.desc("n"), "lang").limit(256).collect()}
-    languages = languages or sorted(x for x, n in per.items() if n >= 0.01 * sum(per.values()))
-    if not languages:
-        return TextModel(["und"], [], np.zeros((1, 1)))
-    known = counts.where((F.col("t") != "\0rows") & F.col("lang").isin(languages))
-    wide = known.groupBy("t").agg(F.sum("n").alias("n"), *(F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(languages)))
-    top = wide.orderBy(F.desc("n"), "t").limit(TRIGRAMS).toPandas()  # the model's size
-    n = top[[f"n{i}" for i in range(len(languages))]].to_numpy(float)
+    of_language = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    size = max(TRIGRAMS, LANGUAGE_TRIGRAMS * len(languages))
+    # by their share in a language, so that those of rare languages count as much
+    top = counts.join(F.broadcast(of_language), "lang").groupBy("t").agg(F.max(F.col("n") / F.col("total")).alias("share")).orderBy(F.desc("share"), "t").limit(size)  # the model's size
+    known = counts.join(top.select("t"), "t").toPandas()
+    trigram_names = sorted(set(known["t"]))
+    row, column = {t: i for i, t in enumerate(trigram_names)}, {x: i for i, x in enumerate(languages)}
+    n = np.zeros((len(row), len(languages)))
+    n[known["t"].map(row).to_numpy(int), known["lang"].map(column).to_numpy(int)] = known["n"].to_numpy(float)
     totals = n.sum(0) + 0.5 * (len(n) + 1)
-    logs = np.log((n + 0.5) / totals)
-    return TextModel(languages, top["t"].tolist(), np.vstack([logs, np.log(0.5 / totals)]))
+    logs = np.vstack([np.log((n + 0.5) / totals), np.log(0.5 / totals)])
+    return TextModel([*languages, UNKNOWN], trigram_names, np.hstack([logs, np.full((len(logs), 1), _unknown(n, logs))]))
+
+
+def _unknown(n: np.ndarray, logs: np.ndarray) -> float:
+    """A trigram's log likelihood in no language: halfway from the worst language's mean over its own
+    text to the mean over texts read as their next best language, or as equally likely trigrams."""
+    n = n[:, n.sum(0) > 0]
+    if not n.size:
+        return -float(np.log(len(logs)))
+    cross = (n / n.sum(0)).T @ logs[:-1]  # text's language, reader's
+    own, uniform = cross.max(1).min(), -np.log(len(logs))
+    others = np.sort(cross, 1)[:, -2] if cross.shape[1] > 1 else np.array([uniform])
+    return float((own + np.minimum(others, own).mean()) / 2)
 
 
 def _smoothed(counts: DataFrame, key: str, parent: str | None, k: int) -> DataFrame:
@@ -211,12 +238,13 @@ def identify(rows: DataFrame, languages: list[str] | None = None, train_rows: in
     s_ll = F.when(F.col("host_p").isNull(), s_ll).otherwise(zero)
     scores = F.array(*(F.col("ll")[i] + d_ll[i] + s_ll[i] + F.log(h[i]) for i in range(k)))
     out = out.select("id", "declared", "n_words", "ll", scores.alias("z"))
+    known = lambda c: F.slice(c, 1, max(1, k - 1))
     z = F.array_max("z")
     norm = F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max(F.col("z"))))
     tags = F.array(*map(F.lit, names))
-    pick = lambda c: F.element_at(tags, F.array_position(c, F.array_max(c)).cast("int"))
+    pick = lambda c: F.element_at(tags, F.array_position(c, F.array_max(known(c))).cast("int"))
     out = out.select(
-        "id", F.nullif("declared", F.lit("")).alias("declared"), F.when(F.col("n_words") > 0, pick(F.col("ll"))).alias("text_language"), pick(F.col("z")).alias("language"), (F.exp(z - z) / norm).alias("posterior"), "n_words"
+        "id", F.nullif("declared", F.lit("")).alias("declared"), F.when(F.col("n_words") > 0, pick(F.col("ll"))).alias("text_language"), pick(F.col("z")).alias("language"), (F.exp(F.array_max(known(F.col("z"))) - z) / norm).alias("posterior"), "n_words"
     )
     return out.withColumn("accepted", (F.col("n_words") > 0) & (F.col("posterior") >= ACCEPT))
 

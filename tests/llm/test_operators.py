@@ -364,6 +364,19 @@ def test_language(spark, nothing):
     assert language_id.identify(language_id.of_documents(nothing)).collect() == []
 
 
+def test_rare_and_unknown_languages(spark):
+    rng, alphabet = random.Random(5), "abcdefghijklmnopqrstuvwxyz"
+    words = {x: ["".join(rng.choices(alphabet[5 * i : 5 * i + 9], k=rng.randint(3, 8))) for _ in range(300)] for i, x in enumerate(("en", "fr", "de"))}
+    words["pt"] = ["".join(rng.choices("qrstuvwxyz", k=rng.randint(3, 8))) for _ in range(300)]
+    strange = ["".join(rng.choices("\u03b1\u03b2\u03b3\u03b4\u03b5\u03b6", k=5)) for _ in range(300)]
+    say = lambda w: " ".join(rng.choices(w, k=40))
+    rows = [(i, say(words[x]), x, "s") for i, x in enumerate(["en"] * 600 + ["fr"] * 500 + ["de"] * 400 + ["pt"] * 6)]
+    rows += [(9000 + i, say(strange), None, "s") for i in range(5)]
+    got = {r["id"]: r for r in language_id.identify(language_id.of_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))).collect()}
+    assert all(got[i]["language"] == x and got[i]["accepted"] for i, _, x, _ in rows if x)
+    assert not any(got[9000 + i]["accepted"] for i in range(5))
+
+
 def test_language_of_pages(spark):
     rows = [(i, f"https://h{i % 3}.example.{('de', 'fr')[i % 2]}/x", f'<html lang="{("de-AT", "fr")[i % 2]}"><script>the the the</script><p>{("der garten und das haus", "le jardin et la maison")[i % 2]}</p>') for i in range(40)]
     rows += [(40, "https://new.example.fr/", '<html><p>zz</p>'), (41, None, None), (42, "x", "")]
