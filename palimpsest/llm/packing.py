@@ -150,7 +150,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
     return bins, offsets, capacity - np.asarray(room, np.int64)
 
 
-PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, closed boolean, round int, part_bins long, part_bound long"
+PACKED = "dealt long, doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, closed boolean, round int, part_bins long, part_bound long"
 
 
 def _pack_round(pool: DataFrame, groups: int, round_no: int, capacity: int) -> DataFrame:
@@ -164,7 +164,7 @@ def _pack_round(pool: DataFrame, groups: int, round_no: int, capacity: int) -> D
         out = pdf.drop(columns="_group").assign(sequence_id=base + bins, offset=offsets, closed=held[bins] == capacity, round=round_no, part_bins=len(held), part_bound=lower_bound(sizes, counts, capacity))
         return out.astype({"piece": "int32", "round": "int32"})
 
-    salt = F.pmod(F.xxhash64(F.lit(round_no), "doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int")
+    salt = F.pmod(F.xxhash64(F.lit(round_no), "dealt"), F.lit(groups)).cast("int")
     return pool.withColumn("_group", salt).groupBy("_group").applyInPandas(pack, PACKED)
 
 
@@ -176,7 +176,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     of magnitude a round.
     """
     scratch = Scratch(docs.sparkSession, "packing")
-    cut = scratch.table(pieces(docs, tokenizer_path, capacity, end_id), "pieces")
+    # numbered once, so that equal rows are dealt apart
+    cut = scratch.table(pieces(docs, tokenizer_path, capacity, end_id).withColumn("dealt", F.monotonically_increasing_id()), "pieces")
     sizes = cut.groupBy("length").count().toPandas()  # capacity rows at most
     bound = lower_bound(sizes["length"].to_numpy(), sizes["count"].to_numpy(), capacity)
     full = cut.where(F.col("length") == capacity)
@@ -194,11 +195,11 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
         bins = {r["closed"]: r["count"] for r in got}
         still = packed.where("not closed").count()
         if closed_bins + sum(bins.values()) <= bound or groups == 1 or k == rounds - 1 or still > 0.9 * left:
-            done.append(packed)
+            done.append(packed.drop("dealt"))
             break
-        done.append(packed.where("closed"))
+        done.append(packed.where("closed").drop("dealt"))
         closed_bins += bins.get(True, 0)
-        pool, left = packed.where("not closed").select("doc_id", "piece", "start", "length", "ids_crc32"), still
+        pool, left = packed.where("not closed").select("dealt", "doc_id", "piece", "start", "length", "ids_crc32"), still
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

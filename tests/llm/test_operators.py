@@ -150,6 +150,14 @@ def test_packing(spark, docs, nothing):
     assert packing.pack(nothing, WORD_BPE).collect() == []
 
 
+def test_packing_deals_equal_rows_apart(spark):
+    import public_tokenizers
+
+    rows = make_docs(spark, ["the same few words"] * 1500, [None] * 1500).repartition(4)
+    got = packing.pack(rows, public_tokenizers.path("word_bpe_49k.json"), group=100).selectExpr("round", "sequence_id >> 20 as g").where("round >= 0")
+    assert max(r["count"] for r in got.groupBy("round", "g").count().collect()) < 250 and got.count() == 1500
+
+
 def test_word_by_word_ids_are_the_librarys():
     tok, rng = packing.load(WORD_BPE), random.Random(2)
     cache = packing.WordIds(tok)
