@@ -29,13 +29,14 @@ def shared_root(spark: SparkSession) -> str:
 class Scratch:
     """Parquet tables in the shared folder, used to cut lineage and to reuse results.
 
-    They survive the loss of an executor. ``drop`` removes one early; the rest go when the
-    session's JVM ends.
+    They survive the loss of an executor. ``drop`` removes tables early, ``keep`` all but those that
+    a result still reads; the rest go when the session's JVM ends.
     """
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
         self.base = f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
         self._fs().deleteOnExit(self._path(self.base))
 
     def _path(self, path: str):
@@ -49,6 +50,7 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and read it back."""
+        self.names.add(name)
         df.write.mode("overwrite").parquet(self.path(name))
         return self.read(df.schema, name)
 
@@ -58,6 +60,11 @@ class Scratch:
     def drop(self, *names: str) -> None:
         for name in names:
             self._fs().delete(self._path(self.path(name)), True)
+            self.names.discard(name)
+
+    def keep(self, *names: str) -> None:
+        """Drop every table written here but these."""
+        self.drop(*(self.names - set(names)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,16 +80,24 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Ids that are broadcast at most (16 bytes each); more go through a shuffle.
-BROADCAST_IDS = 500_000
+#: Ids that are broadcast at most (each a row of some 100 bytes with its key); more go through a shuffle.
+BROADCAST_IDS = 200_000
+
+
+def numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
+    """docs with a row number in a column of a name that it doesn't have. Written, so that numbers last."""
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    return scratch.table(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is not in ids (one column). Rows with a null doc_id stay."""
+def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of docs whose key is not in ids (one column). Rows with a null key stay."""
     name = "_gone"
     while name in docs.columns:
         name += "_"
     ids = ids.toDF(name).where(F.col(name).isNotNull()).distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return docs.join(ids, docs["doc_id"].cast("long") == ids[name], "left_anti")
+    return docs.join(ids, docs[key].cast("long") == ids[name], "left_anti")

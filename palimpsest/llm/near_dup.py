@@ -1,17 +1,19 @@
 """Near duplicates: MinHash bands for candidates, odd sketches to screen them, full sets to confirm.
 
 1. Rows with equal texts form a class, found by a partial aggregate over a text digest.
-2. For a member of each class the distinct shingles are hashed (64 bits), ``HASHES`` minimum values
-   are taken, and folded two ways: bands of ``BAND_ROWS`` values give bucket keys, and an odd sketch
-   (each sample flips a bit of ``SKETCH_BITS``) keeps the parity of what the sample holds.
+2. For a member of each class the distinct shingles are hashed (64 bits). ``HASHES`` minimum values
+   under as many permutations make bands of ``BAND_ROWS``, whose keys are the buckets. ``SAMPLES`` more
+   MinHash samples come from one permutation (the smallest hash in each of so many bins, empty bins
+   left out) and are folded into an odd sketch: each flips a bit of ``SKETCH_BITS``.
 3. In a bucket, every member meets the bucket's smallest one. The population count of the XOR of
-   two sketches estimates the samples' difference; pairs that can't reach the threshold (beyond
-   ``SCREEN`` set bits, over five deviations out) go. The rest are confirmed on the full sets.
+   two sketches estimates the samples' difference. ``screen`` gives the count that a pair at the
+   threshold has, from the sizes of the two sets alone, ``DEVIATIONS`` standard deviations up; pairs
+   beyond it go. The rest are confirmed on the full sets.
 4. Links are contracted to components by hooking and pointer jumping, on the executors.
 5. Members of a bucket that are still in different components meet a member of the bucket's main
-   component, a few rounds long, and at last every such pair that passes the screen is confirmed
-   inside the join's condition. Only pairs inside one component are skipped; that they are linked
-   is known already.
+   component, a few rounds long, and at last every such pair is screened inside the join's
+   condition, on sizes and sketches alone; what passes is confirmed on the full sets as before. Only
+   pairs inside one component are skipped; that they are linked is known already.
 
 A hot bucket is never one task's: pivots and main components come from partial aggregates that are
 written, and what joins them are plain scans, which Spark can split. Set comparisons run as a
@@ -35,16 +37,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, texts
+from .common import BROADCAST_IDS, Scratch, numbered, texts, without
 
 WORDS = 5
 THRESHOLD = (3, 4)  # 0.75, exactly
 BANDS, BAND_ROWS = 40, 4
 HASHES = BANDS * BAND_ROWS
-SKETCH_BITS = 512
+SAMPLES = 1024
+SKETCH_BITS = 2048
 LANES = SKETCH_BITS // 64
-#: XOR bits beyond which a similarity of 0.75 is out of the question: mean 70 at 160 samples, deviation under 10.
-SCREEN = 128
+DEVIATIONS = 5.0
 STAR = 64
 PIVOT_ROUNDS = 3
 #: Words of a worker's cache at most; it is emptied beyond.
@@ -54,7 +56,6 @@ _RNG = np.random.default_rng(20240229)
 _WORD_MULT = _RNG.integers(1, 2**63, WORDS, dtype=np.uint64) | np.uint64(1)
 _MULT = _RNG.integers(1, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
 _ADD = _RNG.integers(0, 2**32, HASHES, dtype=np.uint32)
-_SAMPLE = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
 _BAND = _RNG.integers(1, 2**63, (BANDS, BAND_ROWS), dtype=np.uint64) | np.uint64(1)
 
 
@@ -97,11 +98,32 @@ def min_hashes(hashes: np.ndarray) -> np.ndarray:
     return low
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """LANES 64-bit words; each sample (its number and value) flips one bit."""
-    bits = (_mix(samples.astype(np.uint64) * _SAMPLE + _SAMPLE[::-1]) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    odd = np.bincount(bits, minlength=SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """LANES 64-bit words of a sorted set of hashes: the smallest hash of each of SAMPLES bins flips one bit."""
+    low, full = np.zeros(SAMPLES, np.uint64), np.zeros(SAMPLES, bool)
+    bins = (hashes & np.uint64(SAMPLES - 1)).astype(np.int64)
+    low[bins[::-1]] = hashes[::-1]  # of several values for a bin the last one stays: the smallest
+    full[bins] = True
+    bits = (_mix(low[full]) >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(bits, minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.uint64)
+
+
+def screen(na, nb, exp=np.exp, sqrt=np.sqrt):
+    """XOR bits of two sketches beyond which sets of these sizes can't be at the threshold.
+
+    At similarity t the union has u = (na + nb) / (1 + t) elements. Its smallest ones by bin are a
+    random subset, of U = k (1 - e^(-u/k)) elements, of which the share t is common: without
+    replacement, so the count's variance is U t (1 - t) (1 - U/u). m differing samples set
+    n/2 (1 - e^(-2m/n)) bits. Takes numbers, or columns with their functions.
+    """
+    k, n, t = float(SAMPLES), float(SKETCH_BITS), THRESHOLD[0] / THRESHOLD[1]
+    union = (na + nb) / (1 + t)
+    full = k * (1 - exp(-union / k))
+    differ = k * (2 - exp(-na / k) - exp(-nb / k)) - 2 * t * full
+    spread = 4 * t * (1 - t) * full * (1 - full / union)
+    slope = exp(-2 * differ / n)
+    variance = slope * slope * spread + n / 4 * (1 - slope * slope) - differ * slope * slope
+    return n / 2 * (1 - slope) + DEVIATIONS * sqrt(variance + 1) + 2
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
@@ -114,7 +136,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(arrays or [np.empty(0, np.uint64)]).view(np.int64)))
 
 
-SIGNATURE = "doc_id long, key string, n long, bands array<long>, " + ", ".join(f"s{i} long" for i in range(LANES))
+SIGNATURE = "doc_id long, key binary, n long, bands array<long>, " + ", ".join(f"s{i} long" for i in range(LANES))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -129,8 +151,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     if len(last) >= 4096:
                         last.clear()
                     h = shingles(text.as_py(), seen)
-                    s = min_hashes(h)
-                    last[key] = (len(h), band_keys(s) if len(h) else np.empty(0, np.uint64), odd_sketch(s))
+                    last[key] = (len(h), band_keys(min_hashes(h)) if len(h) else np.empty(0, np.uint64), odd_sketch(h))
                 for col, x in zip((n, bands, lanes), last[key], strict=True):
                     col.append(x)
             sk = np.array(lanes, np.uint64).reshape(-1, LANES).view(np.int64)
@@ -143,13 +164,17 @@ def _screened(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sketches leave the threshold open."""
     for side in "ab":
         pairs = pairs.join(sketches.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), *(F.col(f"s{i}").alias(f"{side}{i}") for i in range(LANES))), side)
+    return pairs.where(_sizes() & _close()).select("a", "b")
+
+
+def _sizes():
     num, den = THRESHOLD
-    sizes = (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (F.col("na") > 0)
-    return pairs.where(sizes & _close("a", "b")).select("a", "b")
+    return (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (F.col("na") > 0)
 
 
-def _close(a: str, b: str):
-    return reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(LANES))) <= SCREEN
+def _close():
+    bits = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(LANES)))
+    return bits <= screen(F.col("na").cast("double"), F.col("nb").cast("double"), F.exp, F.sqrt)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -229,7 +254,7 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     scratch = Scratch(docs.sparkSession, "neardup")
-    docs = texts(docs).withColumn("text", F.coalesce(F.col("text"), F.lit("")).cast("binary")).withColumn("key", F.md5("text"))
+    docs = texts(docs).withColumn("text", F.coalesce(F.col("text"), F.lit("")).cast("binary")).withColumn("key", F.unhex(F.sha2("text", 256)))
     signed = scratch.table(signatures(docs), "signed")
     # a class's smallest id, with its signature; at most one row a class and task is shuffled
     lanes = [f"s{i}" for i in range(LANES)]
@@ -262,20 +287,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             tried.append(scratch.read(star.schema, f"star{k}"))
             links.append(scratch.table(confirmed(deg, sets), f"links{k}"))
         else:
-            links.append(scratch.table(_cross(scratch.table(open_, f"open{k}"), sketches, sets), f"links{k}"))
+            cand = _across(scratch.table(open_, f"open{k}"), sketches)
+            for old in tried:
+                cand = cand.join(old.select("a", "b"), ["a", "b"], "left_anti")
+            links.append(scratch.table(confirmed(_with_degree(cand, scratch, f"star{k}"), sets), f"links{k}"))
         if links[-1].isEmpty():
             continue
         comp = components(reduce(DataFrame.unionByName, links), scratch, f"c{k}")
     found = scratch.table(sig.select("key", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("comp", "rep").alias("comp")), "found")
     out = scratch.read(signed.schema, "signed").select("doc_id", "key", "n").join(found, "key", "left")
+    scratch.keep("signed", "found")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-#: Ids that are broadcast at most (16 bytes each); more go through a shuffle of the texts.
-BROADCAST_IDS = 500_000
-
-
 def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
     """(rep, hashes) of the classes that share a bucket with another."""
 
@@ -290,19 +315,31 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, scratch: Scrat
     return scratch.table(chosen.mapInArrow(hashes, "rep long, hashes array<long>"), "sets")
 
 
-def _cross(open_: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
-    """The linked pairs of a bucket across components, one of them not in the main one.
+def _across(open_: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs of a bucket across components, one of them not in the main one, that sizes and sketches leave open.
 
-    The sets travel with the bucket's rows, and the join's condition confirms a pair once sizes and
-    sketches leave it open: what the join makes is links only, however many pairs fail.
+    Rows carry sketches and no sets; the join's condition screens, so that it makes only what is left.
     """
-    full = open_.join(sketches, "rep").join(sets, "rep")
-    side = lambda s: [F.col("rep").alias(s), F.col("comp").alias(f"c{s}"), F.col("n").alias(f"n{s}"), F.col("hashes").alias(f"h{s}"), *(F.col(f"s{i}").alias(f"{s}{i}") for i in range(LANES))]
+    full = open_.join(sketches, "rep")
+    side = lambda s: [F.col("rep").alias(s), F.col("comp").alias(f"c{s}"), F.col("n").alias(f"n{s}"), *(F.col(f"s{i}").alias(f"{s}{i}") for i in range(LANES))]
     minor = full.where("comp <> main").select("key", *side("a"))
     other = full.select("key", F.col("main").alias("mb"), *side("b"))
-    num, den = THRESHOLD
-    sizes = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
     once = (F.col("cb") == F.col("mb")) | (F.col("a") < F.col("b"))
-    both = F.size(F.array_intersect("ha", "hb"))
-    linked = both * (den + num) >= (F.col("na") + F.col("nb")) * num
-    return minor.join(other, (minor["key"] == other["key"]) & (F.col("ca") != F.col("cb")) & once & sizes & _close("a", "b") & linked).select("a", "b").distinct()
+    pairs = minor.join(other, (minor["key"] == other["key"]) & (F.col("ca") != F.col("cb")) & once & _sizes() & _close())
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def clean(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, but one of each component: that of the smallest doc_id.
+
+    Rows are judged, not ids: repeated rows are copies of each other, rows that share a doc_id but not
+    a text are documents of their own, and rows with a null id take part (they stay only if no row of
+    their component has an id). Of several rows with that id the one that stands first stays.
+    """
+    scratch = Scratch(docs.sparkSession, "neardup-clean")
+    docs, row = numbered(docs, scratch)
+    found = near_duplicates(docs.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+    found = scratch.table(docs.select(row, F.col("doc_id").cast("long").alias("doc_id")).join(found, row), "found")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
+    best = scratch.table(found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("m")).where("n > 1").select("component_id", F.col("m.row").alias("stays")), "best")
+    return without(docs, found.join(best, "component_id").where(F.col(row) != F.col("stays")).select(row), row).drop(row)

@@ -103,17 +103,35 @@ def test_near_duplicates_in_chains(spark):
     assert got == brute_components(list(enumerate(rows)))
 
 
-def test_odd_sketch_estimates_difference():
-    rng = np.random.default_rng(0)
-    for same in (0.75, 0.9):
-        bits = []
-        for _ in range(200):
-            a = rng.integers(0, 2**32, near_dup.HASHES, dtype=np.uint32)
-            b = np.where(rng.random(near_dup.HASHES) < same, a, rng.integers(0, 2**32, near_dup.HASHES, dtype=np.uint32))
-            bits.append(int(np.bitwise_count(near_dup.odd_sketch(a) ^ near_dup.odd_sketch(b)).sum()))
-        odd = -near_dup.SKETCH_BITS / 2 * np.log(1 - 2 * np.mean(bits) / near_dup.SKETCH_BITS)
-        assert abs(1 - odd / 2 / near_dup.HASHES - same) < 0.02
-        assert max(bits) < near_dup.SCREEN
+def sets_at(rng, na, nb, similarity):
+    """Sorted hashes of two random sets of these sizes and this similarity."""
+    union = round((na + nb) / (1 + similarity))
+    h = rng.integers(0, 2**63, union, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, union, dtype=np.uint64)
+    return np.sort(h[:na]), np.sort(np.r_[h[: na + nb - union], h[na:]])
+
+
+@pytest.mark.parametrize("size", (20, 60, 150, 300, 600, 1500, 5000))
+def test_screen_separates_the_threshold_from_pairs_below(size):
+    """No pair at 0.75 is lost; of those at 0.60 at most 5 % stay where sets are not small."""
+    rng = np.random.default_rng(size)
+
+    def passes(similarity, ratio):
+        a, b = sets_at(rng, size, int(size * ratio), similarity)
+        bits = int(np.bitwise_count(near_dup.odd_sketch(a) ^ near_dup.odd_sketch(b)).sum())
+        return bits <= near_dup.screen(float(len(a)), float(len(b)))
+
+    assert all(passes(0.75, ratio) for ratio in (1, 0.9, 0.8) for _ in range(150))
+    assert all(passes(0.9, 1) for _ in range(50))
+    assert size < 150 or np.mean([passes(0.6, 1) for _ in range(200)]) <= 0.05
+
+
+def test_clean_judges_rows(spark):
+    """Rows, not ids: one row of a group stays, a text that shares its id with a duplicate stays."""
+    a, b, c = prose(30), prose(30), prose(30)
+    rows = [(5, a), (3, a), (3, b), (None, a), (None, c), (None, c), (9, None), (9, ""), (9, ""), (2, "one")]
+    got = near_dup.clean(make_docs(spark, [t for _, t in rows], [i for i, _ in rows]))
+    assert got.columns == make_docs(spark, []).columns
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, [(3, a), (3, b), (None, c), (9, None), (9, ""), (9, ""), (2, "one")]))
 
 
 def test_token_counts(spark, texts, docs, nothing):
