@@ -1,19 +1,26 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 Words are mapped to classes (insult, threat, target, negation, reported speech, clause end) and a
-weight. Four small transducers rewrite a clause's classes into pattern labels: one keeps the scope
-of a negation, one that of reported speech, one links an insult or threat to a target near it, one
-ends all scopes with the clause. They are composed once into a single deterministic table; a
-clause is scored by its path through that table. A document's features are the best and the summed
-clause scores for each pattern; a logistic curve over them gives the score.
+weight. Transducers rewrite a clause's symbols: each reads what the one before wrote, adds a tag to
+insults and threats and a weight to the path, and ends its scopes with the clause. One cascade reads
+from left to right (standing alone, negation, reported speech, target), a second one reads its output
+from right to left (the same, for what follows the word, and the label of the pattern), so attribution
+and negation count on both sides. Each cascade is composed once into a deterministic table. Weights
+add up along a word's path (its own and that of its arcs), and the best path of each pattern, if over 0,
+is the clause's score: long clauses of weak words stay weak.
+
+Clauses are scored, not words: a word without company in its clause matches nothing, nor does a threat
+without a target. A document's features are the best and the summed clause scores of each pattern; a
+logistic curve over them gives the score.
 
 Insults and their weights are learned: log odds of the document frequency of words and word
 beginnings in toxic and in clean labelled rows. The rest of the lexicon is fixed. Training takes at
 most ``train_toxic`` and ``train_clean`` labelled rows, chosen by a hash of the id among the rows that
 ``trainable`` admits; nothing but the text is an input of a score.
 
-Defined results: a null or empty text has no pattern and gets the curve's lowest score; without
-labelled rows of both kinds every score is 0; repeated or null ids give a row each.
+Defined results: a null or empty text has no pattern and gets the score of the curve's bias; without
+labelled rows of both kinds every score is 0; repeated or null ids give a row each; long texts are
+read whole, in time in proportion to their length; of several labels of an id the toxic one counts.
 """
 
 from __future__ import annotations
@@ -21,8 +28,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -54,56 +62,101 @@ _FIXED = {w: c for c, ws in FIXED_WORDS.items() for w in ws.split()}
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n]")
 
 
+#: Symbols: a letter for the class (by code), then the tags that machines added to it.
+CLASSES = "OIHTNRE"
+_HOT_CLASSES = "IH"
+#: Weights of the arcs that tag a word, added along the path.
+ARC = {"n": -3.0, "r": -2.0, "t": 1.0}
+THREAT_ARC = 2.0
+
+State = int | tuple
+Step = Callable[[State, str], tuple[State, str, float]]
+
+
 @dataclass(frozen=True)
 class Transducer:
-    """Deterministic: step[state][class] -> (state, label). State 0 starts; a label is '' or a tag."""
+    """Deterministic and weighted: step(state, symbol) -> (state, symbol written, arc's weight)."""
 
-    step: tuple[tuple[tuple[int, str], ...], ...]
+    step: Step
+    start: State = 0
 
     def compose(self, other: Transducer) -> Transducer:
-        """Both read the same classes; labels are joined. Only reachable states are kept."""
-        names, rows, todo = {(0, 0): 0}, [], [(0, 0)]
-        for a, b in todo:
-            row = []
-            for c in range(7):
-                (na, la), (nb, lb) = self.step[a][c], other.step[b][c]
-                if (na, nb) not in names:
-                    names[(na, nb)] = len(names)
-                    todo.append((na, nb))
-                row.append((names[(na, nb)], la + lb))
-            rows.append(tuple(row))
-        return Transducer(tuple(rows))
-
-
-def scope(opener: int, length: int | None, tag: str) -> Transducer:
+        """other reads what this one writes; weights add up."""
+
+        def step(state: State, x: str) -> tuple[State, str, float]:
+            a, y, w = self.step(state[0], x)
+            b, z, v = other.step(state[1], y)
+            return (a, b), z, w + v
+
+        return Transducer(step, (self.start, other.start))
+
+    def table(self, alphabet: list[str]) -> tuple[list[dict[str, tuple[int, str, float]]], list[str]]:
+        """Rows of the reachable states, and all symbols written."""
+        number, rows, todo, out = {self.start: 0}, [], [self.start], set()
+        for state in todo:
+            row = {}
+            for x in alphabet:
+                nxt, y, w = self.step(state, x)
+                if nxt not in number:
+                    number[nxt] = len(number)
+                    todo.append(nxt)
+                row[x] = (number[nxt], y, w)
+                out.add(y)
+            rows.append(row)
+        return rows, sorted(out)
+
+    def run(self, symbols: list[str]) -> list[tuple[str, float]]:
+        """What is written for each symbol, with its weight."""
+        state, out = self.start, []
+        for x in symbols:
+            state, y, w = self.step(state, x)
+            out.append((y, w))
+        return out
+
+
+def _tagged(x: str, tag: str) -> tuple[str, float]:
+    """A tag counts once, whichever side it comes from."""
+    return (x, 0.0) if tag in x[1:] else (x + tag, ARC.get(tag, 0.0))
+
+
+def scope(opener: str, length: int | None, tag: str) -> Transducer:
     """Tags insults and threats after an opener: for so many words, or to the clause's end."""
-    last = length or 1
-    rows = []
-    for left in range(last + 1):
-        row = []
-        for c in range(7):
-            nxt = last if c == opener else 0 if c == END else left if length is None else max(0, left - 1)
-            row.append((nxt, tag if left and c in (INSULT, THREAT) else ""))
-        rows.append(tuple(row))
-    return Transducer(tuple(rows))
 
+    def step(left: int, x: str) -> tuple[int, str, float]:
+        y, w = _tagged(x, tag) if left and x[0] in _HOT_CLASSES else (x, 0.0)
+        nxt = 0 if x[0] == "E" else (length or 1) if x[0] == opener else left if length is None else max(0, left - 1)
+        return nxt, y, w
 
-def identity() -> Transducer:
-    return Transducer((tuple((0, {INSULT: "I", THREAT: "H"}.get(c, "")) for c in range(7)),))
+    return Transducer(step)
 
 
-GRAMMAR = identity().compose(scope(NEGATION, SCOPE, "n")).compose(scope(REPORT, None, "r")).compose(scope(TARGET, SCOPE, "t"))
+def company(tag: str) -> Transducer:
+    """Tags insults and threats that no word of the clause stands before."""
 
+    def step(seen: int, x: str) -> tuple[int, str, float]:
+        y, w = _tagged(x, tag) if not seen and x[0] in _HOT_CLASSES else (x, 0.0)
+        return int(x[0] != "E"), y, w
+
+    return Transducer(step)
 
-def pattern(label: str) -> int | None:
-    """The pattern that a composed label stands for."""
-    if not label:
-        return None
-    return 1 if "n" in label else 2 if "r" in label else 4 if label[0] == "H" else 3 if "t" in label else 0
 
+def judge() -> Transducer:
+    """Writes the pattern that a tagged word stands for; the empty symbol for none."""
 
-#: The composed table with labels resolved: next state and pattern.
-TABLE = tuple(tuple((s, pattern(label)) for s, label in row) for row in GRAMMAR.step)
+    def step(state: int, x: str) -> tuple[int, str, float]:
+        kind, tags = x[0], x[1:]
+        if kind not in _HOT_CLASSES or {"a", "z"} <= set(tags) or (kind == "H" and "t" not in tags):
+            return 0, "", 0.0
+        name = "negated" if "n" in tags else "reported" if "r" in tags else "threat" if kind == "H" else "targeted" if "t" in tags else "plain"
+        return 0, name, THREAT_ARC if kind == "H" else 0.0
+
+    return Transducer(step)
+
+
+FORWARD = [company("a"), scope("N", SCOPE, "n"), scope("R", None, "r"), scope("T", SCOPE, "t")]
+BACKWARD = [company("z"), scope("N", SCOPE, "n"), scope("R", None, "r"), scope("T", SCOPE, "t"), judge()]
+_FORWARD, _SYMBOLS = reduce(Transducer.compose, FORWARD).table(list(CLASSES))
+_BACKWARD, _ = reduce(Transducer.compose, BACKWARD).table(_SYMBOLS)
 
 
 @dataclass
@@ -152,25 +205,27 @@ def clause_scores(text: str | None, lexicon: Lexicon) -> list[tuple[str, list[fl
         start = codes.rfind(END, 0, m.start()) + 1
         done = codes.find(END, m.start())
         done = len(codes) if done < 0 else done
-        # a target may also follow what it belongs to: the clause is read in both directions
         best = [0.0] * len(PATTERNS)
-        before = _walk(codes[start:done])
-        after = _walk(codes[start:done][::-1])[::-1]
-        for i, (a, b) in enumerate(zip(before, after, strict=True)):
-            if a is None:
-                continue
-            kind = 3 if a == 0 and b == 3 else a
-            best[kind] += lexicon.weight.get(words[start + i], THREAT_WEIGHT)
-        out.append((" ".join(words[start:done]), best))
+        for i, (name, weight) in enumerate(read_clause([CLASSES[c] for c in codes[start:done]])):
+            if name:
+                k = PATTERNS.index(name)
+                best[k] = max(best[k], lexicon.weight.get(words[start + i], THREAT_WEIGHT) + weight)
+        if any(best):
+            out.append((" ".join(words[start:done]), best))
     return out
 
 
-def _walk(codes: bytes) -> list[int | None]:
+def read_clause(symbols: list[str]) -> list[tuple[str, float]]:
+    """Pattern ('' for none) and weight of the path's arcs for each word, by the two composed tables."""
+    state, middle = 0, []
+    for x in symbols:
+        state, y, w = _FORWARD[state][x]
+        middle.append((y, w))
     state, out = 0, []
-    for c in codes:
-        state, kind = TABLE[state][c]
-        out.append(kind)
-    return out
+    for x, w in reversed(middle):
+        state, y, v = _BACKWARD[state][x]
+        out.append((y, w + v))
+    return out[::-1]
 
 
 def features(text: str | None, lexicon: Lexicon) -> list[float]:

@@ -358,16 +358,32 @@ def test_toxicity(spark, nothing):
 
 
 def test_grammar_reads_clauses():
-    lex = toxicity.Lexicon(units={"fool": 3.0})
-    kinds = lambda text: [i for _, s in toxicity.clause_scores(text, lex) for i, x in enumerate(s) if x]
-    assert kinds("what a fool. fine") == [0]
-    assert kinds("that man is not a fool") == [1]
-    assert kinds("not now, as it was long ago, a fool") == [0]
-    assert kinds("the paper said a fool") == [2]
-    assert kinds("it said so. a fool") == [0]
-    assert kinds("you fool") == kinds("fool that you are") == [3]
-    assert kinds("kill") == [4]
-    assert kinds("nothing here") == []
+    lex = toxicity.Lexicon(units={"fool": 4.0})
+    kinds = lambda text: [toxicity.PATTERNS[i] for _, s in toxicity.clause_scores(text, lex) for i, x in enumerate(s) if x]
+    assert kinds("what a fool. fine") == ["plain"]
+    assert kinds("that man is not a fool") == kinds("a fool he is not") == ["negated"]
+    assert kinds("not now, as it was long ago, a fool") == ["plain"]
+    assert kinds("the paper said a fool") == kinds("'a fool', he said to them") == ["reported"]
+    assert kinds("it said so. a fool") == ["plain"]
+    assert kinds("you fool") == kinds("fool that you are") == ["targeted"]
+    assert kinds("fool") == kinds("well. Fool! so") == kinds("kill") == kinds("i will kill the lights") == kinds("nothing here") == []
+    assert kinds("i will kill you") == ["threat"]
+    assert [max(toxicity.clause_scores(t, lex)[0][1]) for t in ("what a fool", "you fool", "not a fool")] == [4.0, 5.0, 1.0]
+
+
+def test_composed_tables_are_the_cascade():
+    """Brute force: each transducer runs over the whole clause before the next one reads what it wrote."""
+    rng = random.Random(9)
+    for _ in range(3000):
+        clause = [rng.choice(toxicity.CLASSES if rng.random() < 0.2 else "OIHTNR") for _ in range(rng.randint(1, 14))]
+        weights, symbols = [0.0] * len(clause), clause
+        for side in (toxicity.FORWARD, toxicity.BACKWARD):
+            for machine in side:
+                got = machine.run(symbols)
+                symbols, weights = [y for y, _ in got], [w + v for w, (_, v) in zip(weights, got, strict=True)]
+            symbols, weights = symbols[::-1], weights[::-1]
+        # both sides were turned once: the order is the clause's again
+        assert toxicity.read_clause(clause) == list(zip(symbols, weights, strict=True))
 
 
 def test_language(spark, nothing):
