@@ -300,7 +300,9 @@ def test_decontamination(spark, nothing):
     split = decontamination.contamination(make_docs(spark, rows), bench, block_words=20)
     assert {(r["doc_id"], r["item_id"]) for r in split.collect()} == set(got)
     kept = decontamination.clean(make_docs(spark, rows), bench)
-    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 6, 7] and kept.columns[0] == "doc_id"
+    # a short item is reported, and condemns nothing
+    assert got[(2, 2)]["short"] and not got[(0, 0)]["short"]
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4, 5, 6, 7] and kept.columns[0] == "doc_id"
     assert decontamination.contamination(nothing, bench).collect() == []
     assert decontamination.contamination(make_docs(spark, rows), bench.limit(0)).collect() == []
 
@@ -335,6 +337,17 @@ def test_tiling_is_greedy(seed):
         assert (hits[0][2] if hits else 0) == brute_tiles(a, b, 3)
 
 
+def test_repetitive_texts_are_tiled_in_time():
+    import time
+
+    t = time.perf_counter()
+    seeds = decontamination.Seeds([(1, "the " * 200), (2, "a b " * 90 + "c")])
+    assert seeds.hits("the " * 1_000_000) == [(1, 1, 200, 200)]
+    assert seeds.hits("b a " * 200_000) == [(2, 1, 180, 181)]
+    assert seeds.hits("the " * 99) == [] and seeds.hits("the " * 100) == [(1, 1, 100, 200)]
+    assert time.perf_counter() - t < 20
+
+
 def test_toxicity(spark, nothing):
     rng = random.Random(4)
     texts = [prose(60, rng) for _ in range(400)]
