@@ -8,9 +8,14 @@ axes of the SVD rotation plus the product of the residual lengths. What is left
 integers. Bounds are compared with a margin above rounding error and only strictly lower ones are
 cut, so ties are kept.
 
+Rows are stored in the narrowest integers that hold the table's largest component; a block has at
+most ``BLOCK`` rows and ``BLOCK_BYTES`` bytes, so the block of longest vectors may be broadcast.
+
 Defined results: vectors that are null or hold null or non-finite components take no part; shorter
 vectors count as padded with zeros; rows that share a query's id are its own and no candidates;
-rows with a null id take no part; with fewer than k candidates all are returned.
+rows with a null id take no part; with fewer than k candidates all are returned. Query rows equal in
+id and vector are one query; rows of one id with different vectors are queries of their own, told
+apart by ``query_row`` (any numbers; each has its ranks from 1). Repeated rows are a candidate each.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from .common import Scratch
 
 SCALE = 256
 BLOCK = 8192
+BLOCK_BYTES = 16 << 20
 QUERY_BLOCK = 2048
 RUN = 1024
 #: Rotated axes in the partial sum.
@@ -33,7 +39,7 @@ HEAD = 16
 #: Relative and absolute room for rounding of the floating-point bounds.
 MARGIN = 1e-9
 
-_BLOCK = "block int, lo double, hi double, ids binary, rows binary"
+_BLOCK = "block long, lo double, hi double, ids binary, numbers binary, rows binary"
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -80,19 +86,30 @@ def rotation(rows: DataFrame, dim: int) -> np.ndarray:
     return np.ascontiguousarray(vectors[:, ::-1])
 
 
-def _blocks(rows: DataFrame, count: int, dim: int) -> DataFrame:
-    """Rows of descending norm in at least count blocks; a row per block, long vectors in block 0."""
+def _narrowest(largest: int) -> type:
+    return next((t for t in (np.int16, np.int32) if largest <= np.iinfo(t).max), np.int64)
+
+
+def _blocks(rows: DataFrame, size: int, dim: int, kind: type) -> DataFrame:
+    """rows (vec_id, norm, v, row) by descending norm in blocks of size rows at most; long vectors have the lowest block numbers.
+
+    Equal rows are dealt by a number, so that they need not share a task.
+    """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2), dim), b.column(3)[0].as_py()) for b in batches if b.num_rows]
+        got = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), _matrix(b.column(3), dim).astype(kind), b.column(4)[0].as_py()) for b in batches if b.num_rows]
         if not got:
             return
-        ids, norms, m = (np.concatenate([g[k] for g in got]) for k in range(3))
+        ids, norms, numbers, m = (np.concatenate([g[k] for g in got]) for k in range(4))
         order = np.lexsort((ids, -norms))
-        ids, norms, m = ids[order], norms[order], m[order]
-        yield pa.RecordBatch.from_pylist([{"block": got[0][3], "lo": norms[-1], "hi": norms[0], "ids": ids.tobytes(), "rows": m.tobytes()}], pa.schema([("block", pa.int32()), ("lo", pa.float64()), ("hi", pa.float64()), ("ids", pa.binary()), ("rows", pa.binary())]))
+        for j, at in enumerate(range(0, len(order), size)):
+            x = order[at : at + size]
+            row = {"block": got[0][4] << 24 | j, "lo": norms[x[-1]], "hi": norms[x[0]], "ids": ids[x].tobytes(), "numbers": numbers[x].tobytes(), "rows": m[x].tobytes()}
+            yield pa.RecordBatch.from_pylist([row], pa.schema([("block", pa.int64()), ("lo", pa.float64()), ("hi", pa.float64()), ("ids", pa.binary()), ("numbers", pa.binary()), ("rows", pa.binary())]))
 
-    return rows.select((-F.col("norm")).alias("neg"), "vec_id", "norm", "v").repartitionByRange(count, "neg", "vec_id").select("vec_id", "norm", "v", F.spark_partition_id().alias("part")).mapInArrow(build, _BLOCK)
+    count = max(1, -(-rows.count() // size))
+    dealt = rows.select((-F.col("norm")).alias("neg"), "vec_id", "norm", "v", "row").repartitionByRange(count, "neg", "vec_id", "row")
+    return dealt.select("vec_id", "norm", "row", "v", F.spark_partition_id().cast("long").alias("part")).mapInArrow(build, _BLOCK)
 
 
 def _merge(q: np.ndarray, s: np.ndarray, i: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,36 +166,43 @@ def search(qi: np.ndarray, qm: np.ndarray, ci: np.ndarray, cm: np.ndarray, basis
 def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = SCALE, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score of the k best rows for each row that is_query (a condition on vec_id) names."""
     scratch = Scratch(vectors.sparkSession, "topk")
-    rows = scratch.table(quantised(vectors, scale), "rows")
-    n, dim, n_query = rows.agg(F.count(F.lit(1)), F.max(F.size("v")), F.sum(is_query.cast("long"))).first()
-    dim = dim or 1
+    rows = scratch.table(quantised(vectors, scale).withColumn("row", F.monotonically_increasing_id()), "rows")
+    # of the lowest long there is no absolute: -(x + 1) is as wide
+    largest = F.max(F.aggregate("v", F.lit(0).cast("long"), lambda a, x: F.greatest(a, x, -(x + 1))))
+    dim, largest = rows.agg(F.max(F.size("v")), largest).first()
+    dim, kind = dim or 1, _narrowest(largest or 0)
     basis = rotation(rows, dim)
-    c = scratch.table(_blocks(rows, -(-n // block) or 1, dim), "candidates")
-    q = scratch.table(_blocks(rows.where(is_query), -(-(n_query or 0) // query_block) or 1, dim).toDF("qblock", "qlo", "qhi", "qids", "qrows"), "queries")
-    flat = "query_id long, vec_id long, score long"
+    fit = max(1, BLOCK_BYTES // (dim * np.dtype(kind).itemsize))
+    c = scratch.table(_blocks(rows, min(block, fit), dim, kind).drop("numbers"), "candidates")
+    # equal query rows are one query; numbered once written
+    asked = scratch.table(rows.where(is_query).groupBy("vec_id", "v").agg(F.first("norm").alias("norm")), "distinct")
+    asked = scratch.table(asked.withColumn("row", F.monotonically_increasing_id()), "asked")
+    q = scratch.table(_blocks(asked, min(query_block, fit), dim, kind).toDF("qblock", "qlo", "qhi", "qids", "qnumbers", "qrows"), "queries")
+    flat = "query_row long, query_id long, vec_id long, score long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 x = {f: batch.column(f)[r].as_py() for f in batch.schema.names}
-                qi, ci = np.frombuffer(x["qids"], np.int64), np.frombuffer(x["ids"], np.int64)
-                qm, cm = (np.frombuffer(x[f], np.int64).reshape(-1, dim) for f in ("qrows", "rows"))
+                qi, qn, ci = (np.frombuffer(x[f], np.int64) for f in ("qids", "qnumbers", "ids"))
+                qm, cm = (np.frombuffer(x[f], kind).reshape(-1, dim).astype(np.int64) for f in ("qrows", "rows"))
                 floor = np.frombuffer(x["floor"], np.float64) if x["floor"] else np.full(len(qi), -np.inf)
                 a, i, s = search(qi, qm, ci, cm, basis, floor, k)
-                yield pa.RecordBatch.from_arrays([pa.array(qi[a]), pa.array(i), pa.array(s)], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(qn[a]), pa.array(qi[a]), pa.array(i), pa.array(s)], ["query_row", "query_id", "vec_id", "score"])
 
-    # the longest vectors first; blocks are numbered by descending norm
+    # the longest vectors first; blocks are numbered by descending norm, and one has BLOCK_BYTES at most
     first = c.agg(F.min("block")).first()[0]
-    lead = scratch.table(q.withColumn("block", F.lit(first)).join(c.where(F.col("block") == first), "block").withColumn("floor", F.lit(None).cast("binary")).mapInArrow(run, flat), "lead")
+    longest = F.broadcast(c.where(F.col("block") == first))
+    lead = scratch.table(q.withColumn("block", F.lit(first).cast("long")).join(longest, "block").withColumn("floor", F.lit(None).cast("binary")).mapInArrow(run, flat), "lead")
 
     # each query's k-th score so far, beside its block; per block a binary column
-    kth = lead.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s")).where(F.col("n") == k)
+    kth = lead.groupBy("query_row").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s")).where(F.col("n") == k)
 
-    def explode_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def places_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                i = np.frombuffer(ids, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), b, np.int32)), pa.array(i), pa.array(np.arange(len(i)))], ["qblock", "query_id", "at"])
+            for b, numbers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                i = np.frombuffer(numbers, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), b)), pa.array(i), pa.array(np.arange(len(i)))], ["qblock", "query_row", "at"])
 
     def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,25 +211,26 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = SCALE, block: i
                 for x in lists:
                     if x["s"] is not None:
                         f[x["at"]] = x["s"]
-                yield pa.RecordBatch.from_pylist([{"qblock": b, "floor": f.tobytes()}], pa.schema([("qblock", pa.int32()), ("floor", pa.binary())]))
+                yield pa.RecordBatch.from_pylist([{"qblock": b, "floor": f.tobytes()}], pa.schema([("qblock", pa.int64()), ("floor", pa.binary())]))
 
-    places = q.select("qblock", "qids").mapInArrow(explode_ids, "qblock int, query_id long, at long")
+    places = q.select("qblock", "qnumbers").mapInArrow(places_of, "qblock long, query_row long, at long")
     # a query block has a bounded number of rows, so this list is bounded
-    floor = scratch.table(places.join(kth, "query_id", "left").groupBy("qblock").agg(F.collect_list(F.struct("at", "s")).alias("x")).mapInArrow(floors, "qblock int, floor binary"), "floors")
+    floor = scratch.table(places.join(kth, "query_row", "left").groupBy("qblock").agg(F.collect_list(F.struct("at", "s")).alias("x")).mapInArrow(floors, "qblock long, floor binary"), "floors")
     ready = scratch.table(q.join(floor, "qblock"), "ready")
 
     # pairs of block numbers that a length bound leaves open, then the blocks themselves
     def lowest_ratio(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b, rows_, f in zip(*(batch.column(x).to_pylist() for x in range(3)), strict=True):
-                norms = np.sqrt((np.frombuffer(rows_, np.int64).reshape(-1, dim).astype(float) ** 2).sum(1))
+                norms = np.sqrt((np.frombuffer(rows_, kind).reshape(-1, dim).astype(float) ** 2).sum(1))
                 f = np.frombuffer(f, np.float64)
                 need = np.where(norms > 0, (f - MARGIN * (1 + np.abs(f))) / np.maximum(norms, 1e-300), np.where(f <= 0, -np.inf, np.inf)).min(initial=np.inf)
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([float(need)])], ["qblock", "need"])
+                yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([float(need)])], ["qblock", "need"])
 
     lengths = c.where(F.col("block") != first).select("block", "hi")
-    needs = ready.select("qblock", "qrows", "floor").mapInArrow(lowest_ratio, "qblock int, need double")
+    needs = ready.select("qblock", "qrows", "floor").mapInArrow(lowest_ratio, "qblock long, need double")
     pairs = scratch.table(lengths.join(needs, F.col("hi") >= F.col("need")).select("qblock", "block"), "pairs")
-    rest = pairs.join(c, "block").join(ready, "qblock").select("qids", "qrows", "ids", "rows", "floor").mapInArrow(run, flat)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return lead.unionByName(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    rest = pairs.join(c, "block").join(ready, "qblock").select("qids", "qnumbers", "qrows", "ids", "rows", "floor").mapInArrow(run, flat)
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    ranked = lead.unionByName(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "query_row")
