@@ -2,14 +2,17 @@
 
 Documents are tokenised and cut into pieces; full pieces are sequences of their own. The others
 are dealt to partitions of bounded size and packed by best-fit decreasing. For every partition
-dual feasible functions give a lower bound on its bins. Full bins are closed; a partition with a
-gap (bins left partly empty) hands their pieces to the next round, where they are dealt anew,
-together with what other partitions could not use, to as many partitions as they need. It ends
-when the count meets the bound of the whole table's histogram of lengths (at most ``capacity``
-rows), or when a round closes too little.
+dual feasible functions give a lower bound on its bins. A partition whose bins meet its bound is
+certified: no packing of its pieces has fewer, its bins are closed and it is never opened again, but
+for its emptiest bin, which is the rounding of its bound. A partition with a gap (more bins than its
+bound) closes its full bins only. The pieces of the others, and of the certified ones' emptiest bins,
+are exchanged: dealt anew to as many partitions as they need, and packed again. It ends when the
+count meets the bound of the whole table's histogram of lengths (at most ``capacity`` rows), when one
+partition holds all that is left, or when a round closes too little.
 
 Defined results: a null or empty text is one piece that holds only the end token; a repeated or
-null id is packed once per row; an empty table gives an empty result.
+null id is packed once per row; of equal lengths any order will do; a long text is tokenised whole,
+by one task; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ CAPACITY = 2048
 END_ID = 0
 GROUP = 8192
 ROUNDS = 8
+#: Groups that are placed by range, so that each has a task of its own; more are hashed.
+RANGED = 256
 #: Words of a worker's cache at most; it is emptied beyond.
 CACHE = 1 << 19
 
@@ -161,11 +166,18 @@ def _pack_round(pool: DataFrame, groups: int, round_no: int, capacity: int) -> D
         bins, offsets, held = best_fit_decreasing(pdf["length"].to_numpy(), capacity)
         sizes, counts = np.unique(pdf["length"].to_numpy(), return_counts=True)
         base = (round_no << 58) | (int(pdf["_group"].iloc[0]) << 20)
-        out = pdf.drop(columns="_group").assign(sequence_id=base + bins, offset=offsets, closed=held[bins] == capacity, round=round_no, part_bins=len(held), part_bound=lower_bound(sizes, counts, capacity))
+        bound = lower_bound(sizes, counts, capacity)
+        closed = held == capacity
+        if len(held) <= bound:  # certified
+            closed |= np.arange(len(held)) != held.argmin()
+        out = pdf.drop(columns="_group").assign(sequence_id=base + bins, offset=offsets, closed=closed[bins], round=round_no, part_bins=len(held), part_bound=bound)
         return out.astype({"piece": "int32", "round": "int32"})
 
     salt = F.pmod(F.xxhash64(F.lit(round_no), "dealt"), F.lit(groups)).cast("int")
-    return pool.withColumn("_group", salt).groupBy("_group").applyInPandas(pack, PACKED)
+    pool = pool.withColumn("_group", salt)
+    if groups <= RANGED:  # a few groups would meet in the same task by their hashes
+        pool = pool.repartitionByRange(4 * groups, "_group")
+    return pool.groupBy("_group").applyInPandas(pack, PACKED)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
