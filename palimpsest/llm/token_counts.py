@@ -6,7 +6,12 @@ letter or digit and the one at p is a space or a line end. The byte-level pre-to
 splits there: no token of it holds a letter or digit followed by white space, and matching goes on
 from p without looking back. So what stands left of p is encoded as in the whole text by the left
 chunk, and what stands right of p by the right one. Where an overlap has no such position (one
-endless word), the left chunk is widened, twice as far each time, in the end to the whole text.
+endless word), the left chunk is widened, twice as far each time, in the end to the whole text. A
+stretch of n characters without such a position is encoded over and over, but with widths that
+double, so a few times n characters in all, never n^2. Memory is that of the text and of the offsets
+of the widest chunk, which is as long as the longest such stretch.
+
+The chunk is short, so that all but short texts are counted this way.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); a row per input row, repeated
 or null ids included.
@@ -24,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import texts
 
-CHUNK_CHARS = 1 << 16
-OVERLAP_CHARS = 1 << 10
+CHUNK_CHARS = 1 << 12
+OVERLAP_CHARS = 1 << 8
 LIMIT = 512
 
 
