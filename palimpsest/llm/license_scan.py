@@ -6,13 +6,15 @@ leaves the threshold open: with A and B bigrams, 2 min(A, B) / (A + B) must reac
 
 Before anything is cut, a text must hold one of the templates' anchor words. They lose nothing: a
 segment that reaches the threshold shares at least o = ceil(t B / (2 - t)) of a template's B
-bigrams, so it holds one of any B - o + 1 of them.
+bigrams, so it holds one of any B - o + 1 of them. A text is tested as the normaliser reads it: A-Z
+lower-cased, and whatever isn't a-z or 0-9 (an underscore, an accented letter) ends a word.
 
 Defined results: null, empty and wordless texts match nothing; a segment under two words has no
 bigram and matches nothing; a segment counts for its best template only (ties to the last name); each row
 of the table gives a row per template found, with its best segment (ties to the first in binary order),
 or, if no segment shows it, its best window (ties to the first place); rows with null ids keep them.
-``license_sql`` states the segments' part alone.
+``license_sql`` states the segments' part alone. Whole license texts are found by their grants, which are
+among the templates.
 """
 
 from __future__ import annotations
@@ -93,8 +95,13 @@ def size_bounds(size: int, threshold: float) -> tuple[int, int]:
     return math.ceil(size * threshold / (2 - threshold) - 1e-9), math.floor(size * (2 - threshold) / threshold + 1e-9)
 
 
+def _lower(text: Column) -> Column:
+    """A-Z only, as the normaliser has it: lower() would make letters of others."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def _normal(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(_lower(text), "[^a-z0-9]+", " "))
 
 
 def _bigrams(w: Column) -> Column:
@@ -119,16 +126,19 @@ def _best(b: Column, templates: dict[str, str], threshold: float) -> Column:
 def _holds(text: Column, word: str) -> Column:
     """Whether a lower-cased text may hold a word; short ones are common inside others and need their bounds."""
     there = text.contains(word)
-    return there if len(word) > 4 else there & text.rlike(rf"\b{word}\b")
+    return there if len(word) > 4 else there & text.rlike(f"(?:^|[^a-z0-9]){word}(?:[^a-z0-9]|$)")
 
 
-def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, license, dice, segment: the best segment for each row of docs and template that reaches the threshold."""
+def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, anchored: bool = True) -> DataFrame:
+    """doc_id, license, dice, segment: the best segment for each row of docs and template that reaches the threshold.
+
+    Without anchors every text is cut and compared; the result is the same.
+    """
     templates = templates or TEMPLATES
     docs = texts(docs).where("text is not null")
-    words = anchors(templates, threshold)
+    words = anchors(templates, threshold) if anchored else []
     # the array binds the lower-cased text, so that it is made once for all words
-    holds = F.exists(F.array(F.lower("text")), lambda t: reduce(lambda x, y: x | y, (_holds(t, w) for w in words)))
+    holds = F.exists(F.array(_lower(F.col("text"))), lambda t: reduce(lambda x, y: x | y, (_holds(t, w) for w in words))) if words else F.lit(True)
     # written once: rows are numbered, and read by segments and by windows
     found = Scratch(docs.sparkSession, "licenses").table(docs.where(holds).withColumn("row", F.monotonically_increasing_id()), "found")
     by_segment = _by_segment(found, templates, threshold)

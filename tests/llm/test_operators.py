@@ -273,6 +273,23 @@ def test_wrapped_licenses(spark):
     assert all(r["dice"] == 1.0 for r in got.values()) and got[4, "MIT"]["segment"] == "released under the MIT License"
 
 
+def test_anchors_change_nothing(spark):
+    """A fuzz test against the form that cuts and compares every text."""
+    import textwrap
+
+    rng, rows = random.Random(12), ["CC_BY_NC 4.0", "écc by-nc 4.0é", "\u212acc by nc 4.0", "_MIT_License_ released under the_MIT_license", "licensed\u0130under cc by 4 0"]
+    t = [x for x in license_scan.TEMPLATES.values() if len(x) < 100]
+    for _ in range(120):
+        w = license_scan.words_of(rng.choice(t))
+        w = [rng.choice(VOCAB) if rng.random() < 0.06 else x.upper() if rng.random() < 0.2 else x for x in w if rng.random() > 0.05]
+        text = "".join(x + rng.choice((" ", " ", " ", "_", "-", ", ", "é", "\n", ". ", "İ", "\u212a")) for x in w)
+        rows.append(f"{prose(rng.randint(0, 9), rng)} {textwrap.fill(text, 50) if rng.random() < 0.3 else text} {prose(rng.randint(0, 9), rng)}")
+    docs = make_docs(spark, rows)
+    got, want = (sorted(map(str, license_scan.license_matches(docs, anchored=x).collect())) for x in (True, False))
+    assert got == want and len(got) > 30
+    assert {r["license"] for r in license_scan.license_matches(docs.where("doc_id < 3")).collect()} == {"CC-BY-NC-4.0"}
+
+
 def test_license_anchors_lose_nothing():
     words = license_scan.anchors(license_scan.TEMPLATES, 0.8)
     rng = random.Random(1)
