@@ -1,5 +1,6 @@
 """Operators against brute force, on small inputs with nulls, empty and long texts, ties, repeated rows and clashing names."""
 
+import gzip
 import hashlib
 import random
 import zlib
@@ -247,6 +248,29 @@ def test_warc(spark, tmp_path):
     key = lambda x: tuple(map(str, x))
     assert sorted(((str(r["record_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got), key=key) == sorted(want, key=key)
     assert all(r["payload_ok"] for r in got)
+    assert next(r["target_uri"] for r in got if r["record_id"] == 5) == "http://b/%0D%0AX: y"
+    # a member a record, and ids that are unique but for what revisits refer to
+    members, ids, refers = 0, [], set()
+    for file in (tmp_path / "w").rglob("*.txt"):
+        data = file.read_bytes()
+        assert gzip.decompress(data) == warc._inflate(data)
+        while data:
+            d = zlib.decompressobj(31)
+            one = d.decompress(data)
+            data = d.unused_data
+            if one:
+                (head, _), members = list(warc.parse_records(one))[0], members + 1
+                ids.append(head[b"warc-record-id"])
+                refers |= {head[b"warc-refers-to"]} if b"warc-refers-to" in head else set()
+    assert members == len(rows) == len(set(ids)) and refers == {b"<urn:palimpsest:page:3>"}
+    # small volumes, and archives that lack a response
+    warc.write_archives(pages, str(tmp_path / "v"), scratch, file_bytes=1000)
+    assert len(list((tmp_path / "v").glob("volume=*"))) > 1 and warc.read_archives(spark, str(tmp_path / "v")).count() == len(rows)
+    lost = warc.resolve_revisits(warc.read_archives(spark, str(tmp_path / "w")).where("record_id is null or record_id <> 3"), Scratch(spark, "t"))
+    assert [(r["payload_bytes"], r["payload_ok"]) for r in lost.where("record_type = 'revisit'").collect()] == [(None, False)] * 2
+    # headers of any length; blocks that aren't HTTP
+    assert warc.payload_of({}, memoryview(b"HTTP/1.1 200 OK\r\nX: " + b"y" * 9000 + b"\r\n\r\nbody")) == b"body"
+    assert warc.payload_of({b"content-type": b"text/plain"}, memoryview(b"a\r\n\r\nb")) == b"a\r\n\r\nb"
     empty = Scratch(spark, "t")
     warc.write_archives(pages.limit(0), str(tmp_path / "e"), empty)
     assert warc.resolve_revisits(warc.read_archives(spark, str(tmp_path / "e")), empty).collect() == []
@@ -318,6 +342,19 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0)).collect() == []
 
 
+def test_trees_on_urls_they_have_not_seen(spark):
+    """Two rules whose URLs differ in shape: lists of numbers against short words, and few suffixes."""
+    rng = random.Random(2)
+    shape = {"bad": lambda: f"{rng.randint(0, 99)}/{rng.randint(0, 10**9)}/x?a={rng.randint(0, 999)}&b=9", "good": lambda: "".join(rng.choices("abcdefgh", k=9))}
+    rows = [(i, f"http://h{rng.randint(0, 30)}.{kind}.example/{shape[kind]()}{i}") for i, kind in enumerate(rng.choices(("bad", "good"), k=900))]
+    rows += [(9000, "http://x.bad.example/0")] * 200
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    rules = (url_filter.Rule("block", "bad.example/"), url_filter.Rule("allow", "good.example/"))
+    got = url_filter.held_out(pages, rules).collect()
+    assert len(got) > 200 and np.mean([(r["score"] >= 0.5) == (r["label"] == 1) for r in got]) > 0.97
+    assert url_filter.held_out(pages.limit(0)) is None
+
+
 def test_decontamination(spark, nothing):
     rng = random.Random(8)
     items = [prose(30, rng), prose(50, rng), "one two three", None, "", prose(40, rng)]
