@@ -1,18 +1,19 @@
 """Language identification by Bayesian fusion of text, declared language, address suffix and host.
 
-posterior(l) ~ P(text | l)^tempered * P(declared | l) * P(suffix | l) * P(l | host)
+posterior(l) ~ P(text | l)^tempered * P(declared | l) * P(l | host)
 
 - Text: character trigrams of each word, multinomial, trained on a bounded sample of rows of every
   declared language, however few declare it. Words of a text are not independent, so the mean log likelihood of a word
   counts as often as the square root of the number of words, ``TEXT_WORDS`` times at most.
-- Declared language (a markup's or a column's) and address suffix: how often each value goes with
-  each language, over all rows, smoothed.
-- Host: P(l | host) is shrunk to P(l | domain), that to P(l | suffix), that to P(l); each level
-  weighs as much as ``PRIOR`` rows of its parent.
+- Declared language (a markup's or a column's): how often each value goes with each language, over
+  all rows, smoothed.
+- Host: P(l | host) is shrunk to P(l | domain), that to P(l | address suffix), that to P(l); each
+  level weighs as much as ``PRIOR`` rows of its parent. A new host gets its suffix's prior.
 
-The tables of the last two are grouped aggregates over all rows, of what the text alone says; a
-table of hosts is joined, never collected, and a hot host is split by Spark since both sides are
-plain scans.
+The tables of the last two are grouped aggregates over all rows, of what the text alone says. A row's
+own vote is taken out of every count before it is used on that row, so its text counts once, however
+small its host. A table of hosts is joined, never collected, and a hot host is split by Spark since
+both sides are plain scans.
 
 ``UNKNOWN`` is a language like the others for text of none of them: each trigram has the same
 likelihood, between those of the languages' own texts and of texts read as the next best language.
@@ -20,7 +21,8 @@ It takes its part of the posterior but is never named, unless nothing is declare
 
 A row is accepted if its text has words and the posterior of its best known language reaches ``ACCEPT``.
 
-Defined results: a null, empty or letterless text has no words: its language is that of the other
+Defined results: of languages that are equally likely the first by name is taken; long texts are read
+whole, and no more than ``TEXT_WORDS`` words of theirs count; a null, empty or letterless text has no words: its language is that of the other
 evidence, and it isn't accepted; null declared values, suffixes and hosts are values like others,
 shared by all rows that lack them; rows with null or repeated ids are judged one by one.
 """
@@ -30,14 +32,13 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, numbered, without
 
 TRAIN_ROWS = 20_000
 #: Rows of each language at least, where it has so many, and trigrams of the model for each.
@@ -184,12 +185,6 @@ def _unknown(n: np.ndarray, logs: np.ndarray) -> float:
     return float((own + np.minimum(others, own).mean()) / 2)
 
 
-def _smoothed(counts: DataFrame, key: str, parent: str | None, k: int) -> DataFrame:
-    """P(l | key) from counts (key, parent, c0..), shrunk to the parent's p column."""
-    total = reduce(lambda a, b: a + b, (F.col(f"c{i}") for i in range(k)))
-    return counts.withColumn("p", F.array(*((F.col(f"c{i}") + F.lit(PRIOR) * F.col("q")[i]) / (total + PRIOR) for i in range(k))))
-
-
 def identify(rows: DataFrame, languages: list[str] | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """id, declared, text_language, language, posterior, n_words, accepted for every row of evidence."""
     spark = rows.sparkSession
@@ -210,33 +205,38 @@ def identify(rows: DataFrame, languages: list[str] | None = None, train_rows: in
     judged = scratch.table(rows.mapInArrow(judge, "id long, declared string, suffix string, domain string, host string, n_words long, ll array<double>"), "judged")
     for c in ("declared", "suffix", "domain", "host"):  # a join key must not be null
         judged = judged.withColumn(c, F.coalesce(F.col(c), F.lit("")))
-    best = F.expr("cast(array_position(ll, array_max(ll)) - 1 as int)")
-    votes = judged.where("n_words > 0").withColumn("l", best)
+    best = F.when(F.col("n_words") > 0, F.expr("cast(array_position(ll, array_max(ll)) - 1 as int)"))
+    judged = judged.withColumn("l", best)
+    votes = judged.where("l is not null")
     each = [F.sum(F.when(F.col("l") == i, 1.0).otherwise(0.0)).alias(f"c{i}") for i in range(k)]
+    sums, counts = [F.sum(f"c{i}").alias(f"c{i}") for i in range(k)], F.array(*(F.col(f"c{i}") for i in range(k)))
     hosts = scratch.table(votes.groupBy("host", "domain", "suffix").agg(*each), "host-counts")
-    sums = [F.sum(f"c{i}").alias(f"c{i}") for i in range(k)]
-
-    overall = hosts.agg(*sums).first()
-    q = [((overall[i] or 0.0) + 1.0) / (sum(x or 0.0 for x in overall) + k) for i in range(k)]
-    by_suffix = _smoothed(hosts.groupBy("suffix").agg(*sums).withColumn("q", F.array(*map(F.lit, q))), "suffix", None, k).select("suffix", F.col("p").alias("q"))
-    by_domain = _smoothed(hosts.groupBy("domain", "suffix").agg(*sums).join(by_suffix, "suffix"), "domain", "suffix", k).select("domain", "suffix", F.col("p").alias("q"))
-    by_host = _smoothed(hosts.join(by_domain, ["domain", "suffix"]), "host", "domain", k).select("host", "domain", "suffix", F.col("p").alias("host_p"))
-
-    def given(key: str) -> DataFrame:
-        """log P(key's value | l), add-one smoothed, for each value seen."""
-        counts = votes.groupBy(key).agg(*each)
-        values = counts.count() + 1
-        return counts.select(key, F.array(*(F.log((F.col(f"c{i}") + 1.0) / (F.lit((overall[i] or 0.0) + values))) for i in range(k))).alias(f"{key}_ll"))
-
-    priors = scratch.table(by_host.join(given("suffix"), "suffix"), "hosts")
-    declared = scratch.table(given("declared"), "declared")
-    out = judged.join(priors, ["host", "domain", "suffix"], "left").join(declared, "declared", "left")
+    overall = [x or 0.0 for x in hosts.agg(*sums).first()]
+    by_suffix = scratch.table(hosts.groupBy("suffix").agg(*sums).select("suffix", counts.alias("suffix_n")), "suffixes")
+    by_domain = hosts.groupBy("domain", "suffix").agg(*sums).select("domain", "suffix", counts.alias("domain_n"))
+    priors = scratch.table(hosts.select("host", "domain", "suffix", counts.alias("host_n")).join(by_domain, ["domain", "suffix"]), "hosts")
+    declared = scratch.table(votes.groupBy("declared").agg(*each).select("declared", counts.alias("declared_n")), "declared")
+    values = declared.count() + 1
+    out = judged.join(priors, ["host", "domain", "suffix"], "left").join(by_suffix, "suffix", "left").join(declared, "declared", "left")
     zero = F.array(*[F.lit(0.0)] * k)
-    d_ll, s_ll = F.coalesce(F.when(F.col("declared") != "", F.col("declared_ll")), zero), F.coalesce(F.when(F.col("suffix") != "", F.col("suffix_ll")), zero)
-    # the host's table holds its suffix already through its parents; suffix evidence counts where a host is new
-    h = F.coalesce("host_p", F.array(*map(F.lit, q)))
-    s_ll = F.when(F.col("host_p").isNull(), s_ll).otherwise(zero)
-    scores = F.array(*(F.col("ll")[i] + d_ll[i] + s_ll[i] + F.log(h[i]) for i in range(k)))
+    voted = F.col("l").isNotNull().cast("double")
+
+    def others(c: Column) -> Column:
+        """Counts without the row's own vote."""
+        return F.transform(F.coalesce(c, zero), lambda x, i: x - F.when(i == F.col("l"), 1.0).otherwise(0.0))
+
+    def shrunk(c: Column, parent: Column) -> Column:
+        total = F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+        return F.zip_with(c, parent, lambda x, q: (x + F.lit(PRIOR) * q) / (total + PRIOR))
+
+    all_n = F.array(*map(F.lit, overall))
+    out = out.withColumn("all_n", others(all_n)).withColumn("p", F.transform("all_n", lambda x: (x + 1.0) / (F.lit(sum(overall) + k) - voted)))
+    # a row of a new host has no vote: nothing is taken out of zeros
+    for level in ("suffix_n", "domain_n", "host_n"):
+        out = out.withColumn("p", F.when(F.col(level).isNull(), F.col("p")).otherwise(shrunk(others(F.col(level)), F.col("p"))))
+    said = F.zip_with(others(F.col("declared_n")), F.col("all_n"), lambda c, n: F.log((c + 1.0) / (n + F.lit(float(values)))))
+    said = F.when((F.col("declared") != "") & F.col("declared_n").isNotNull(), said).otherwise(zero)
+    scores = F.zip_with(F.zip_with("ll", said, lambda a, b: a + b), F.col("p"), lambda a, p: a + F.log(p))
     out = out.select("id", "declared", "n_words", "ll", scores.alias("z"))
     known = lambda c: F.slice(c, 1, max(1, k - 1))
     z = F.array_max("z")
@@ -249,6 +249,9 @@ def identify(rows: DataFrame, languages: list[str] | None = None, train_rows: in
     return out.withColumn("accepted", (F.col("n_words") > 0) & (F.col("posterior") >= ACCEPT))
 
 
-def rejected_documents(docs: DataFrame) -> DataFrame:
-    """doc_id of the documents that are not accepted."""
-    return identify(of_documents(docs)).where(~F.col("accepted")).select(F.col("id").alias("doc_id"))
+def clean(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that are accepted. Rows are judged, not ids: a null or repeated id is none the worse."""
+    scratch = Scratch(docs.sparkSession, "langid-clean")
+    docs, row = numbered(docs, scratch)
+    rejected = identify(of_documents(docs.withColumn("doc_id", F.col(row)))).where(~F.col("accepted")).select(F.col("id").alias(row))
+    return without(docs, scratch.table(rejected, "rejected"), row).drop(row)
