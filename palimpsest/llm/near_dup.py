@@ -50,7 +50,7 @@ DEVIATIONS = 5.0
 STAR = 64
 PIVOT_ROUNDS = 3
 #: Words of a worker's cache at most; it is emptied beyond.
-CACHE = 1 << 19
+CACHE = 1 << 17
 
 _RNG = np.random.default_rng(20240229)
 _WORD_MULT = _RNG.integers(1, 2**63, WORDS, dtype=np.uint64) | np.uint64(1)
@@ -136,7 +136,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(arrays or [np.empty(0, np.uint64)]).view(np.int64)))
 
 
-SIGNATURE = "doc_id long, key binary, n long, bands array<long>, " + ", ".join(f"s{i} long" for i in range(LANES))
+SIGNATURE = "doc_id long, key binary, n long, bands array<long>, sketch array<long>"
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -145,17 +145,16 @@ def signatures(docs: DataFrame) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, last = _WordHash(), {}
         for batch in batches:
-            n, bands, lanes = [], [], []
+            n, bands, sketches = [], [], []
             for key, text in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if key not in last:  # copies that stand near each other are signed once
                     if len(last) >= 4096:
                         last.clear()
                     h = shingles(text.as_py(), seen)
                     last[key] = (len(h), band_keys(min_hashes(h)) if len(h) else np.empty(0, np.uint64), odd_sketch(h))
-                for col, x in zip((n, bands, lanes), last[key], strict=True):
+                for col, x in zip((n, bands, sketches), last[key], strict=True):
                     col.append(x)
-            sk = np.array(lanes, np.uint64).reshape(-1, LANES).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), _lists(bands), *(pa.array(sk[:, i]) for i in range(LANES))], ["doc_id", "key", "n", "bands", *(f"s{i}" for i in range(LANES))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), _lists(bands), _lists(sketches)], ["doc_id", "key", "n", "bands", "sketch"])
 
     return docs.select("doc_id", "key", "text").mapInArrow(sign, SIGNATURE)
 
@@ -163,7 +162,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 def _screened(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sketches leave the threshold open."""
     for side in "ab":
-        pairs = pairs.join(sketches.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), *(F.col(f"s{i}").alias(f"{side}{i}") for i in range(LANES))), side)
+        pairs = pairs.join(sketches.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
     return pairs.where(_sizes() & _close()).select("a", "b")
 
 
@@ -173,7 +172,7 @@ def _sizes():
 
 
 def _close():
-    bits = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(LANES)))
+    bits = reduce(lambda x, y: x + y, (F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(LANES)))
     return bits <= screen(F.col("na").cast("double"), F.col("nb").cast("double"), F.exp, F.sqrt)
 
 
@@ -257,10 +256,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = texts(docs).withColumn("text", F.coalesce(F.col("text"), F.lit("")).cast("binary")).withColumn("key", F.unhex(F.sha2("text", 256)))
     signed = scratch.table(signatures(docs), "signed")
     # a class's smallest id, with its signature; at most one row a class and task is shuffled
-    lanes = [f"s{i}" for i in range(LANES)]
-    first = signed.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "n", "bands", *lanes)).alias("m"))
-    sig = scratch.table(first.select("key", F.col("m.doc_id").alias("rep"), "m.n", "m.bands", *(f"m.{s}" for s in lanes)), "classes")
-    sketches = sig.select("rep", "n", *lanes)
+    first = signed.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "n", "bands", "sketch")).alias("m"))
+    sig = scratch.table(first.select("key", F.col("m.doc_id").alias("rep"), "m.n", "m.bands", "m.sketch"), "classes")
+    sketches = sig.select("rep", "n", "sketch")
     buckets = sig.select("rep", F.explode("bands").alias("key"))
     shared = scratch.table(buckets.groupBy("key").agg(F.min("rep").alias("p"), F.max("rep").alias("last")).where("last > p").drop("last"), "shared")
     members = scratch.table(buckets.join(shared, "key").select("key", "rep", "p"), "members")
@@ -321,7 +319,7 @@ def _across(open_: DataFrame, sketches: DataFrame) -> DataFrame:
     Rows carry sketches and no sets; the join's condition screens, so that it makes only what is left.
     """
     full = open_.join(sketches, "rep")
-    side = lambda s: [F.col("rep").alias(s), F.col("comp").alias(f"c{s}"), F.col("n").alias(f"n{s}"), *(F.col(f"s{i}").alias(f"{s}{i}") for i in range(LANES))]
+    side = lambda s: [F.col("rep").alias(s), F.col("comp").alias(f"c{s}"), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}")]
     minor = full.where("comp <> main").select("key", *side("a"))
     other = full.select("key", F.col("main").alias("mb"), *side("b"))
     once = (F.col("cb") == F.col("mb")) | (F.col("a") < F.col("b"))

@@ -169,7 +169,7 @@ class Lexicon(dict):
     __hash__ = None
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1 << 19:
+        if len(self) > 1 << 16:
             self.clear()
         w = max((self.units.get(u, 0.0) for u in units_of(word)), default=0.0)
         if w:
