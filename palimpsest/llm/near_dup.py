@@ -11,9 +11,10 @@
    beyond it go. The rest are confirmed on the full sets.
 4. Links are contracted to components by hooking and pointer jumping, on the executors.
 5. Members of a bucket that are still in different components meet a member of the bucket's main
-   component, a few rounds long, and at last every such pair is screened inside the join's
-   condition, on sizes and sketches alone; what passes is confirmed on the full sets as before. Only
-   pairs inside one component are skipped; that they are linked is known already.
+   component, a few rounds long, and at last every such pair is screened by sizes and sketches, and
+   what passes is confirmed on the full sets, inside the join's condition: what the join makes is
+   links only, however many pairs fail. Only pairs inside one component are skipped; that they are
+   linked is known already.
 
 A hot bucket is never one task's: pivots and main components come from partial aggregates that are
 written, and what joins them are plain scans, which Spark can split. Set comparisons run as a
@@ -285,10 +286,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             tried.append(scratch.read(star.schema, f"star{k}"))
             links.append(scratch.table(confirmed(deg, sets), f"links{k}"))
         else:
-            cand = _across(scratch.table(open_, f"open{k}"), sketches)
-            for old in tried:
-                cand = cand.join(old.select("a", "b"), ["a", "b"], "left_anti")
-            links.append(scratch.table(confirmed(_with_degree(cand, scratch, f"star{k}"), sets), f"links{k}"))
+            links.append(scratch.table(_across(scratch.table(open_, f"open{k}"), sketches, sets), f"links{k}"))
         if links[-1].isEmpty():
             continue
         comp = components(reduce(DataFrame.unionByName, links), scratch, f"c{k}")
@@ -313,18 +311,19 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, scratch: Scrat
     return scratch.table(chosen.mapInArrow(hashes, "rep long, hashes array<long>"), "sets")
 
 
-def _across(open_: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs of a bucket across components, one of them not in the main one, that sizes and sketches leave open.
+def _across(open_: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
+    """The linked pairs of a bucket across components, one of them not in the main one.
 
-    Rows carry sketches and no sets; the join's condition screens, so that it makes only what is left.
+    Sets travel with the bucket's rows, and are compared only where sizes and sketches leave a pair open.
     """
-    full = open_.join(sketches, "rep")
-    side = lambda s: [F.col("rep").alias(s), F.col("comp").alias(f"c{s}"), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}")]
+    full = open_.join(sketches, "rep").join(sets, "rep")
+    side = lambda s: [F.col("rep").alias(s), F.col("comp").alias(f"c{s}"), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"), F.col("hashes").alias(f"h{s}")]
     minor = full.where("comp <> main").select("key", *side("a"))
     other = full.select("key", F.col("main").alias("mb"), *side("b"))
+    num, den = THRESHOLD
     once = (F.col("cb") == F.col("mb")) | (F.col("a") < F.col("b"))
-    pairs = minor.join(other, (minor["key"] == other["key"]) & (F.col("ca") != F.col("cb")) & once & _sizes() & _close())
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    linked = F.size(F.array_intersect("ha", "hb")) * (den + num) >= (F.col("na") + F.col("nb")) * num
+    return minor.join(other, (minor["key"] == other["key"]) & (F.col("ca") != F.col("cb")) & once & _sizes() & _close() & linked).select("a", "b").distinct()
 
 
 def clean(docs: DataFrame) -> DataFrame:
