@@ -38,7 +38,7 @@ ROUNDS = 8
 #: Groups that are placed by range, so that each has a task of its own; more are hashed.
 RANGED = 256
 #: Words of a worker's cache at most; it is emptied beyond.
-CACHE = 1 << 18
+CACHE = 1 << 19
 
 #: Characters for which lower() and the tokenizer's normaliser agree one by one and NFC changes nothing.
 _ASCII = bytes([9, 10, 13, *range(32, 127)])
