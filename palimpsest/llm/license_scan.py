@@ -172,21 +172,24 @@ def _by_window(found: DataFrame, templates: dict[str, str], threshold: float) ->
     hits = hits.groupBy("row", "license", "need", "high").agg(F.array_sort(F.collect_list("at")).alias("at")).where(F.size("at") >= F.col("need"))
     starts = F.filter("at", lambda x, i: F.coalesce(F.try_element_at("at", i + F.col("need")) - x < F.col("high"), F.lit(False)))
     spots = hits.withColumn("starts", starts).where(F.size("starts") > 0)
-    raw = spots.join(found, "row").withColumn("raw", F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+[^A-Za-z0-9]*"), F.lit(0)))
+    own = F.broadcast(found.sparkSession.createDataFrame(list(known.items()), "license string, own array<string>"))
+    # arrays of one element bind a text's words, and a window's, so that they are cut once and not for each start or end
+    raw = F.array(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+[^A-Za-z0-9]*"), F.lit(0)))
 
-    def window(x: Column) -> Column:
+    def window(raw: Column, x: Column) -> Column:
+        """A window's words, and the lengths that it can have: up to a hit, with the needed hits at least."""
         ends = F.transform(F.filter("at", lambda e: (e >= x) & (e < x + F.col("high"))), lambda e: e - x + 1)
-        return F.struct(x.alias("first"), F.slice(F.col("raw"), x + 1, F.col("high") + 1).alias("raw"), ends.alias("ends"))
+        return F.struct(x.alias("first"), F.slice(raw, x + 1, F.col("high") + 1).alias("raw"), F.slice(ends, F.col("need"), F.size("at")).alias("ends"))
 
-    cut = raw.select("row", "doc_id", "license", F.explode(F.transform("starts", window)).alias("s")).select("row", "doc_id", "license", "s.*")
-    cut = cut.withColumn("w", F.transform("raw", lambda x: F.translate(F.regexp_extract(x, "[A-Za-z0-9]+", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
-    own = F.broadcast(found.sparkSession.createDataFrame(list(known.items()), "license string, own array<string>"))
+    windows = F.flatten(F.transform(raw, lambda r: F.transform("starts", lambda x: window(r, x))))
+    cut = spots.join(found, "row").select("row", "doc_id", "license", F.explode(windows).alias("s")).select("row", "doc_id", "license", "s.*")
+    words = F.array(F.transform("raw", lambda x: _lower(F.regexp_extract(x, "[A-Za-z0-9]+", 0))))
 
-    def dice(n: Column) -> Column:
-        parts = F.transform(F.array(_bigrams(F.slice(F.col("w"), 1, n + 1))), lambda b: 2.0 * F.size(F.array_intersect(b, F.col("own"))) / (F.size(b) + F.size("own")))
+    def dice(w: Column, n: Column) -> Column:
+        parts = F.transform(F.array(_bigrams(F.slice(w, 1, n + 1))), lambda b: 2.0 * F.size(F.array_intersect(b, F.col("own"))) / (F.size(b) + F.size("own")))
         return F.struct(parts[0].alias("dice"), (-n).alias("short"))
 
-    best = cut.join(own, "license").withColumn("b", F.array_max(F.transform("ends", dice))).where(F.col("b.dice") >= threshold)
+    best = cut.join(own, "license").withColumn("b", F.array_max(F.flatten(F.transform(words, lambda w: F.transform("ends", lambda n: dice(w, n)))))).where(F.col("b.dice") >= threshold)
     said = F.regexp_replace(F.array_join(F.slice("raw", 1, 1 - F.col("b.short")), ""), "[^A-Za-z0-9]+$", "")
     spans = best.select("row", "doc_id", "license", F.col("b.dice").alias("dice"), "first", (F.col("first") - F.col("b.short")).alias("last"), said.alias("segment"))  # words, ends included
     # chains of windows that overlap, in each of them the best first
