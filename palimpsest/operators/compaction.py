@@ -34,6 +34,9 @@ class Options:
     bloom: bool = True
     read_only: bool = False
     checkpoint_every: int = 32
+    sync: bool = True
+    max_batch_bytes: int = 1 << 30
+    grace_s: float = 6 * 3600.0
 
 
 def pick_level(files: list[File], options: Options = Options()) -> int:

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,10 @@ class ReadOnly(StoreError):
     pass
 
 
+class BatchTooLarge(StoreError):
+    """A Batch over max_batch_bytes; nothing was written. DataFrames have no limit."""
+
+
 class NotFound(StoreError, KeyError):
     pass
 
@@ -78,9 +83,10 @@ class Snapshot:
 
 class Store:
     def __init__(self, spark: SparkSession, root: str, options: Options = Options(), files: Files | None = None):
-        """Open or create. Recovery is reading the manifest; what no commit names is removed later by collect_garbage."""
+        """Open or create. Recovery is reading the manifest; segments that no commit ever named, and temporary files, are removed once older than grace_s."""
         self.spark, self.options = spark, options
         self.files = files or Files(spark, root)
+        self.files.sync = options.sync
         self.manifest = Manifest(self.files, options.checkpoint_every)
         self.snapshots: set[Snapshot] = set()
         self.closed = False
@@ -98,6 +104,8 @@ class Store:
         for f in self.state.files:
             if not self.files.exists(f"segments/{f.name}"):
                 raise Corruption(f"segment {f.num} is missing")
+        if not options.read_only:
+            self._remove_unnamed(self.manifest.named, options.grace_s)
 
     # writes
 
@@ -107,19 +115,23 @@ class Store:
     def delete(self, key: bytes) -> int:
         return self.write(Batch().delete(key))
 
-    def write(self, batch: Batch | DataFrame, batch_id: str | None = None) -> int:
+    def write(self, batch: Batch | DataFrame, batch_id: str | tuple[str, int] | None = None) -> int:
         """Commit a batch as a whole and return the last sequence number.
 
         A DataFrame has pos, key, kind and value; its rows are numbered in the order of pos, ties in
-        any order. A batch_id that was committed before is skipped.
+        any order. A batch_id that was committed before is skipped; of a (name, number), so is every
+        number up to the highest that was committed, and only that one is kept.
         """
         if isinstance(batch, Batch):
             if not batch.rows:
                 return self.state.last_seq
             self._writable()
+            if sum(len(k) + len(v or b"") for _, k, _, v in batch.rows) > self.options.max_batch_bytes:
+                raise BatchTooLarge(f"a batch holds at most {self.options.max_batch_bytes} bytes")
             batch = self.spark.createDataFrame(batch.rows, "pos long, key binary, kind int, value binary")
         self._writable()
-        if batch_id is not None and batch_id in self.state.batches:
+        marks = (batch_id,) if isinstance(batch_id, tuple) else ()
+        if batch_id in self.state.batches or any(n <= dict(self.state.marks).get(name, -1) for name, n in marks):
             return self.state.last_seq
         num = self.state.next_file
         staging = f"tmp/{num:08d}-{uuid.uuid4().hex[:12]}"
@@ -130,7 +142,7 @@ class Store:
             raise StoreError("sequence numbers are used up")
         file = self._write_segment(staged, num, 0, n)
         last = self.state.last_seq + n
-        self.state = self.manifest.commit(self.state, [file], [], last, num + 1, (batch_id,) if batch_id is not None else ())
+        self.state = self.manifest.commit(self.state, [file], [], last, num + 1, (batch_id,) if isinstance(batch_id, str) else (), marks)
         self.files.remove(staging)
         self.counters["bytes_in"] += file.bytes_in
         self.counters["commits"] += 1
@@ -190,14 +202,34 @@ class Store:
         self.counters["files_touched"] += len(files)
         if not files:
             return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(*(f"{self.files.root}/segments/{f.name}" for f in files))
+        return self._segments(files)
+
+    def _segments(self, files: list[File]) -> DataFrame:
+        """Rows of segments; Parquet's own page checksums are verified as pages are read."""
+        read = self.spark.read.schema(SCHEMA).option("parquet.page.verify-checksum.enabled", "true")
+        return read.parquet(*(f"{self.files.root}/segments/{f.name}" for f in files))
+
+    @contextmanager
+    def _reading(self, state: State, start: bytes | None, end: bytes | None, seq: int):
+        """A read that fails over damaged segments raises Corruption; other failures pass as they are."""
+        try:
+            yield
+        except NotFound:
+            raise
+        except Exception as e:
+            try:
+                self._verify(scan_files(list(state.files), start, end, seq))
+            except Corruption as found:
+                raise found from e
+            raise
 
     def _scan(self, state: State, start, end, seq: int) -> DataFrame:
         return mvcc.scan(self.log(state, start, end, seq), start, end, seq).select("key", "value").orderBy("key")
 
     def _get(self, state: State, key: bytes, seq: int) -> bytes:
         self.counters["gets"] += 1
-        row = mvcc.get(self.log(state, key, key + b"\0", seq), key, seq).first()
+        with self._reading(state, key, key + b"\0", seq):
+            row = mvcc.get(self.log(state, key, key + b"\0", seq), key, seq).first()
         if row is None:
             raise NotFound(key)
         return bytes(row["value"])
@@ -211,9 +243,12 @@ class Store:
     def multi_get(self, keys: DataFrame) -> DataFrame:
         return mvcc.multi_get(self.log(), keys, self.state.last_seq)
 
-    def items(self, start: bytes | None = None, end: bytes | None = None) -> Iterable[tuple[bytes, bytes]]:
+    def items(self, start: bytes | None = None, end: bytes | None = None) -> Iterator[tuple[bytes, bytes]]:
         """Forward iteration, a partition at a time."""
-        return ((bytes(r["key"]), bytes(r["value"])) for r in self.scan(start, end).toLocalIterator())
+        state = self.state
+        with self._reading(state, start, end, state.last_seq):
+            for r in self._scan(state, start, end, state.last_seq).toLocalIterator():
+                yield bytes(r["key"]), bytes(r["value"])
 
     def snapshot(self) -> Snapshot:
         self._live()
@@ -239,8 +274,7 @@ class Store:
         lo, hi = min(f.smallest for f in inputs), max(f.largest for f in inputs)
         inputs += overlapping(list(self.state.files), level + 1, lo, hi)
         self._verify(inputs)
-        paths = [f"{self.files.root}/segments/{f.name}" for f in inputs]
-        merged = self.spark.read.schema(SCHEMA).parquet(*paths)
+        merged = self._segments(inputs)
         if merged.count() != sum(f.count for f in inputs):
             raise Corruption("a compaction's inputs don't have the rows that the manifest says")
         num = self.state.next_file
@@ -263,18 +297,22 @@ class Store:
         """As many compactions as are due; levels under their limits stay."""
         return self.compact_until_quiet()
 
-    def collect_garbage(self, grace_s: float = 0.0) -> list[str]:
-        """Remove segments and temporary files that neither the state nor an open snapshot names, if older than grace_s."""
+    def collect_garbage(self, grace_s: float | None = None) -> list[str]:
+        """Remove segments and temporary files that neither the state nor an open snapshot names, if older than grace_s (that of the options)."""
         self._writable()
         named = {f.name for s in (self.state, *(x.state for x in self.snapshots)) for f in s.files}
-        removed, now = [], time.time() * 1000
-        for folder in ("segments", "tmp"):
-            for name in self.files.names(folder):
-                if folder == "segments" and name in named:
-                    continue
-                if now - self.files.fs.getFileStatus(self.files.path(f"{folder}/{name}")).getModificationTime() >= grace_s * 1000:
-                    self.files.remove(f"{folder}/{name}")
-                    removed.append(f"{folder}/{name}")
+        return self._remove_unnamed(lambda: named, self.options.grace_s if grace_s is None else grace_s)
+
+    def _remove_unnamed(self, named: Callable[[], set[str]], grace_s: float) -> list[str]:
+        before = (time.time() - grace_s) * 1000
+        age = lambda x: self.files.fs.getFileStatus(self.files.path(x)).getModificationTime()
+        found = [f"{folder}/{name}" for folder in ("segments", "tmp") for name in self.files.names(folder)]
+        live = {f.name for f in self.state.files}
+        old = [x for x in found if x.removeprefix("segments/") not in live and age(x) <= before]
+        keep = {f"segments/{n}" for n in named()} if old else set()
+        removed = [x for x in old if x not in keep]
+        for x in removed:
+            self.files.remove(x)
         return removed
 
     def checksum_all(self) -> None:
@@ -284,7 +322,10 @@ class Store:
 
     def _verify(self, files: list[File]) -> None:
         for f in files:
-            got = {(r["name"], r["length"], r["sha"]) for r in self._sums(f.name).collect()}
+            try:
+                got = {(r["name"], r["length"], r["sha"]) for r in self._sums(f.name).collect()}
+            except Exception as e:
+                raise Corruption(f"segment {f.num} can't be read") from e
             if got != set(f.parts):
                 raise Corruption(f"segment {f.num} differs from the manifest")
 
@@ -320,4 +361,4 @@ class Store:
             raise ReadOnly("store is read-only")
 
 
-__all__ = ["Batch", "Closed", "NotFound", "Options", "ReadOnly", "Snapshot", "Store"]
+__all__ = ["Batch", "BatchTooLarge", "Closed", "NotFound", "Options", "ReadOnly", "Snapshot", "Store"]

@@ -13,7 +13,7 @@ def ingest(stream: DataFrame, store: Store, checkpoint: str, query_name: str = "
     The micro-batch's number is recorded in the commit, so a batch that is run again after a failure is skipped.
     No watermark: numbers, not event time, order versions.
     """
-    writer = stream.writeStream.foreachBatch(lambda df, n: store.write(df, batch_id=f"{query_name}-{n}") and None).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(lambda df, n: store.write(df, batch_id=(query_name, n)) and None).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 

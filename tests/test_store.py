@@ -10,7 +10,7 @@ import pytest
 
 from palimpsest.operators.compaction import File, Options, deepest, overlapping, pick_inputs, pick_level, scan_files, write_amp_model
 from palimpsest.plans.manifest import Conflict, Corruption, Files, StoreError
-from palimpsest.plans.store import Batch, Closed, NotFound, ReadOnly, Store
+from palimpsest.plans.store import Batch, BatchTooLarge, Closed, NotFound, ReadOnly, Store
 from palimpsest.streaming.ingest import file_stream, ingest
 
 QUIET = Options(auto_compact=False)
@@ -71,7 +71,7 @@ def test_snapshot_survives_compaction(spark, tmp_path):
     s.delete(b"k000")
     frozen = snap.scan()
     s.compact_all()
-    s.collect_garbage()
+    s.collect_garbage(0.0)
     assert set(kv(frozen).values()) == set(kv(snap.scan()).values()) == {b"old"}
     assert snap.get(b"k000") == b"old"
     assert len(kv(s.scan())) == 29
@@ -82,7 +82,7 @@ def test_snapshot_survives_compaction(spark, tmp_path):
         snap.scan()
     s.write(batch(1, b"x", "z%03d"))
     s.compact_all()
-    assert s.collect_garbage()
+    assert s.collect_garbage(0.0)
     s.checksum_all()
     stats = s.stats()
     assert stats["deepest_level"] == 1 and stats["write_amp"] > 0 and stats["write_amp_model"] == 2.0
@@ -196,6 +196,47 @@ def test_damage_is_found(spark, tmp_path):
         Store(spark, str(tmp_path))
 
 
+def test_damage_on_read(spark, tmp_path):
+    s = Store(spark, str(tmp_path), QUIET)
+    s.write(batch(60, b"v"))
+    part = next((tmp_path / "segments").glob("*/*.parquet"))
+    good = part.read_bytes()
+    part.with_name(f".{part.name}.crc").unlink()
+    for bad in (good[:40] + bytes(20) + good[60:], good[: len(good) // 2], None):
+        part.write_bytes(bad) if bad else part.unlink()
+        with pytest.raises((Corruption, NotFound) if bad is None else Corruption):
+            s.get(b"k007")
+        if bad:
+            with pytest.raises(Corruption):
+                list(s.items())
+    part.write_bytes(good)
+    assert s.get(b"k007") == b"v"
+    with pytest.raises(NotFound):
+        s.get(b"none")
+
+
+def test_limits_and_orphans(spark, tmp_path):
+    options = Options(auto_compact=False, max_batch_bytes=4, checkpoint_every=2, sync=False, grace_s=0.0)
+    s = Store(spark, str(tmp_path), options)
+    with pytest.raises(BatchTooLarge):
+        s.put(b"abc", b"de")
+    assert s.last_seq == 0
+    for n in (3, 1, 3, 5):
+        s.write(Batch().put(b"a", b"%d" % n), batch_id=("q", n))
+    s.write(Batch().put(b"b", b"x"), batch_id="once")
+    s.write(Batch().put(b"b", b"y"), batch_id="once")
+    assert s.state.marks == (("q", 5),) and s.state.batches == ("once",) and s.last_seq == 3
+    s.put(b"c", b"z")
+    assert len(list((tmp_path / "manifest").glob("*.json"))) < s.state.version
+    (tmp_path / "segments" / "00000099-orphan").mkdir()
+    (tmp_path / "tmp" / "left").mkdir()
+    kept = Store(spark, str(tmp_path), QUIET)
+    assert (tmp_path / "segments" / "00000099-orphan").exists()
+    assert kv(kept.scan()) == {b"a": b"5", b"b": b"x", b"c": b"z"} and kept.state == s.state
+    assert kv(Store(spark, str(tmp_path), options).scan()) == {b"a": b"5", b"b": b"x", b"c": b"z"}
+    assert not (tmp_path / "segments" / "00000099-orphan").exists() and not (tmp_path / "tmp" / "left").exists()
+
+
 def test_pickers():
     f = lambda num, level, size, lo, hi: File(num, level, size, lo, hi, 1, num, num)
     files = [f(1, 0, 5, b"a", b"c"), f(2, 0, 5, b"b", b"d"), f(3, 1, 30, b"a", b"b"), f(4, 1, 30, b"d", b"f"), f(5, 2, 5, b"x", b"z")]
@@ -217,7 +258,7 @@ def test_stream_is_exactly_once(spark, tmp_path):
     ingest(file_stream(spark, str(tmp_path / "in"), schema), s, str(tmp_path / "cp")).awaitTermination()
     assert s.last_seq == 12 and len(kv(s.scan())) == 4
     df = spark.createDataFrame([(0, b"k0", 1, b"again")], schema)
-    assert s.write(df, batch_id="ingest-0") == 12
+    assert s.write(df, batch_id=("ingest", 0)) == 12
 
 
 CHILD = """
