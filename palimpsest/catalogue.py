@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,9 +17,9 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 _EVENTS = """log as (
-  select 'u' || lpad(cast(user_id as varchar), 8, '0') as key, event_id + 1 as seq, case when event_type = 'error' then 0 else 1 end as kind,
+  select 'u' || lpad(cast(user_id as varchar), cast(greatest(8, length(cast(user_id as varchar))) as integer), '0') as key, event_id + 1 as seq, case when event_type = 'error' then 0 else 1 end as kind,
          case when event_type = 'error' then null else event_type || ':' || props end as value from events)"""
-_ORDERS = "log as (select 'o' || lpad(cast(o_orderkey as varchar), 12, '0') as key, o_orderkey + 1 as seq, 1 as kind, o_orderstatus as value from orders)"
+_ORDERS = "log as (select 'o' || lpad(cast(o_orderkey as varchar), cast(greatest(12, length(cast(o_orderkey as varchar))) as integer), '0') as key, o_orderkey + 1 as seq, 1 as kind, o_orderstatus as value from orders)"
 
 
 def _newest(where: str = "true", source: str = "log", name: str = "r") -> str:
@@ -239,33 +241,54 @@ def space_amp(spark, d):
     return mvcc.amplification(events_log(spark, d))
 
 
+def _files(spark, d, of_level: Callable[[int], int], size: int = 10) -> list[compaction.File]:
+    """Metadata of segments of 1,000 versions as the pickers take it: a row a segment, as a manifest holds it."""
+    rows = compaction.file_meta(events_log(spark, d), 1000).collect()
+    return [compaction.File(r["file"], of_level(r["file"]), r["n"] * size, r["smallest"].encode(), r["largest"].encode(), r["n"], r["min_seq"], r["max_seq"]) for r in rows]
+
+
 @query(f"with {_EVENTS}, {_META} select case when count(*) >= 4 then 0 else -1 end as level from meta")
 def l0_pick(spark, d):
-    return compaction.file_meta(events_log(spark, d), 1000).agg(F.when(F.count(F.lit(1)) >= 4, 0).otherwise(-1).alias("level"))
+    level = compaction.pick_level(_files(spark, d, lambda f: 0), compaction.Options(l0_trigger=4))
+    return spark.createDataFrame([(level,)], "level int")
 
 
 _LEVELS = "lv as (select *, 1 + cast(file % 3 as int) as level, n * 10 as size from meta)"
 
 
-@query(f"with {_EVENTS}, {_META}, {_LEVELS}, s as (select level, cast(sum(size) as bigint) as bytes from lv group by 1) select level, bytes from s where bytes >= 2000 * power(4, level - 1)")
+def _third(file: int) -> int:
+    return 1 + file % 3
+
+
+@query(f"""with {_EVENTS}, {_META}, {_LEVELS}, s as (select level, sum(size) as bytes from lv group by 1)
+select coalesce(min(level), -1) as level from s where bytes >= 2000 * power(4, level - 1)""")
 def level_pick(spark, d):
-    meta = compaction.file_meta(events_log(spark, d), 1000).withColumn("level", 1 + (F.col("file") % 3).cast("int"))
-    return meta.groupBy("level").agg(F.sum(F.col("n") * 10).alias("bytes")).where(F.col("bytes") >= 2000 * F.pow(F.lit(4), F.col("level") - 1))
+    level = compaction.pick_level(_files(spark, d, _third), compaction.Options(level_base=2000, multiplier=4))
+    return spark.createDataFrame([(level,)], "level int")
+
+
+@query(f"""with {_EVENTS}, {_META}, {_LEVELS}, a as (select * from lv where level = 1 order by smallest, file limit 1)
+select file, level from a union all select b.file, b.level from a join (select * from lv where level = 2) b on not (b.largest < a.smallest or b.smallest > a.largest)""")
+def compaction_inputs(spark, d):
+    """The files that a compaction of level 1 takes: its own of the smallest key, and those of level 2 that it meets."""
+    files = _files(spark, d, _third)
+    own = compaction.pick_inputs(files, 1)
+    met = [x for f in own for x in compaction.overlapping(files, 2, f.smallest, f.largest)]
+    return spark.createDataFrame([(f.num, f.level) for f in own + met], "file long, level int")
 
 
 @query(f"with {_EVENTS}, {_META}, {_LEVELS}, a as (select * from lv where level = 1), b as (select * from lv where level = 2) select a.file as upper_file, b.file as lower_file from a join b on not (b.largest < a.smallest or b.smallest > a.largest)")
 def level_overlap(spark, d):
-    """Pairs of files of neighbouring levels whose closed key ranges meet; a row a file, so the join is small."""
-    meta = compaction.file_meta(events_log(spark, d), 1000).withColumn("level", 1 + (F.col("file") % 3).cast("int"))
-    a, b = meta.where("level = 1").alias("a"), meta.where("level = 2").alias("b")
-    meet = (F.col("b.largest") >= F.col("a.smallest")) & (F.col("b.smallest") <= F.col("a.largest"))
-    return a.join(b, meet).select(F.col("a.file").alias("upper_file"), F.col("b.file").alias("lower_file"))
+    """Pairs of files of neighbouring levels whose closed key ranges meet."""
+    files = _files(spark, d, _third)
+    pairs = [(a.num, b.num) for a in files if a.level == 1 for b in compaction.overlapping(files, 2, a.smallest, a.largest)]
+    return spark.createDataFrame(pairs, "upper_file long, lower_file long")
 
 
 @query(f"with {_EVENTS}, {_META}, {_LEVELS} select max(level) as deepest_level, cast(2 + 10 * (greatest(max(level), 1) - 1) as double) as model from lv")
 def wa_model(spark, d):
-    meta = compaction.file_meta(events_log(spark, d), 1000).withColumn("level", 1 + (F.col("file") % 3).cast("int"))
-    return meta.agg(F.max("level").alias("deepest_level")).withColumn("model", (2 + 10 * (F.greatest("deepest_level", F.lit(1)) - 1)).cast("double"))
+    level = compaction.deepest(_files(spark, d, _third))
+    return spark.createDataFrame([(level, compaction.write_amp_model(level))], "deepest_level int, model double")
 
 
 @query(f"with {_EVENTS} select key, seq, kind, hex(encode(key)) || lpad(hex(seq * 256 + kind), 16, '0') as ikey from log")
@@ -285,23 +308,68 @@ def crc_rows(spark, d):
     return live.select("key", crc32c_column(F.concat(F.col("key").cast("binary"), F.col("value").cast("binary"))).alias("crc"))
 
 
-@query(f"with {_EVENTS}, {_newest()} select key, value from r where rn = 1 and kind = 1")
-def store_scan(spark, d):
-    """The events log written to a store in four batches, compacted, and scanned."""
-    import tempfile
-
+def _store(spark, d, **options):
+    """A store of the events log, written in four batches, and what was read before each of them: (store, root, snapshots)."""
     from .plans.store import Options, Store
 
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf is None and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    import uuid
-
     root = f"{conf.rstrip('/')}/store-{uuid.uuid4().hex}" if conf else "file://" + tempfile.mkdtemp(prefix="store-")
-    store = Store(spark, root, Options(l0_trigger=4))
+    store, snapshots = Store(spark, root, Options(**{"l0_trigger": 4} | options)), []
     log = events_log(spark, d)
     last = log.agg(F.max("seq")).first()[0] or 0
     for i in range(4):
+        snapshots.append(store.snapshot())
         part = log.where((F.col("seq") > last * i // 4) & (F.col("seq") <= last * (i + 1) // 4))
         store.write(part.select(F.col("seq").alias("pos"), "key", "kind", "value"))
-    return store.scan().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+    return store, root, snapshots
+
+
+def _text(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+_HALF = "(select max(seq) // 2 from log)"
+
+
+@query(f"with {_EVENTS}, {_newest()} select key, value from r where rn = 1 and kind = 1")
+def store_scan(spark, d):
+    """The events log written to a store in four batches, compacted, and scanned."""
+    return _text(_store(spark, d)[0].scan())
+
+
+@query(f"with {_EVENTS}, {_newest(f'seq <= {_HALF}')} select key, value from r where rn = 1 and kind = 1")
+def store_snapshot_scan(spark, d):
+    """A snapshot taken after two of the four batches, read when the fourth has started a compaction."""
+    return _text(_store(spark, d)[2][2].scan())
+
+
+@query(f"with {_EVENTS}, {_newest()} select key, value from r where rn = 1 and kind = 1 and key >= 'u00000020' and key < 'u00000060'")
+def store_recovered_scan(spark, d):
+    """A range of a store that was closed, opened again from its manifest, and had its checksums compared."""
+    from .plans.store import Store
+
+    store, root, _ = _store(spark, d)
+    store.close()
+    again = Store(spark, root)
+    again.checksum_all()
+    return _text(again.scan(b"u00000020", b"u00000060"))
+
+
+@query(f"""with {_EVENTS}, {_newest()}, p(key) as (values ('u00000002'), ('u00000005'), ('u99999999'))
+select p.key, case when r.key is null then 0 else 1 end as found, r.value from p left join (select * from r where rn = 1 and kind = 1) r using (key)""")
+def store_multi_get(spark, d):
+    keys = spark.createDataFrame([("u00000002",), ("u00000005",), ("u99999999",)], "key string")
+    got = _store(spark, d)[0].multi_get(keys.select(F.col("key").cast("binary").alias("key")))
+    return got.select(F.col("key").cast("string").alias("key"), "found", F.col("value").cast("string").alias("value"))
+
+
+@query(f"with {_EVENTS}, {_newest()} select cast(max(seq) as bigint) as last_seq, (select count(*) from r where rn = 1 and kind = 1) as rows_at_bottom from log")
+def store_last_level(spark, d):
+    """With two levels, a compaction reaches the last one: one version a live key stays, and no delete."""
+    store, _, snapshots = _store(spark, d, levels=2, l0_trigger=5)
+    for s in snapshots:
+        s.release()
+    store.compact_level(0)
+    return spark.createDataFrame([(store.last_seq, sum(f.count for f in store.state.files))], "last_seq long, rows_at_bottom long")

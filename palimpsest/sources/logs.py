@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _digits(name: str, width: int) -> Column:
+    """A number padded with zeros; one of more digits keeps them all, where lpad alone would cut it."""
+    text = F.col(name).cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(width)), F.lit("0"))
+
+
 def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's events overwrite each other; an error deletes the user."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     error = F.col("event_type") == "error"
     return e.select(
-        F.concat(F.lit("u"), F.lpad(F.col("user_id").cast("string"), 8, "0")).alias("key"), (F.col("event_id") + 1).alias("seq"), F.when(error, 0).otherwise(1).alias("kind"), F.when(~error, F.concat_ws(":", "event_type", "props")).alias("value")
+        F.concat(F.lit("u"), _digits("user_id", 8)).alias("key"), (F.col("event_id") + 1).alias("seq"), F.when(error, 0).otherwise(1).alias("kind"), F.when(~error, F.concat(F.col("event_type"), F.lit(":"), F.col("props"))).alias("value")
     )
 
 
 def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order is put once, in key order."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return o.select(F.concat(F.lit("o"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("key"), (F.col("o_orderkey") + 1).alias("seq"), F.lit(1).alias("kind"), F.col("o_orderstatus").alias("value"))
+    return o.select(F.concat(F.lit("o"), _digits("o_orderkey", 12)).alias("key"), (F.col("o_orderkey") + 1).alias("seq"), F.lit(1).alias("kind"), F.col("o_orderstatus").alias("value"))

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from palimpsest.functions.codec import MembershipFilter, crc32c, crc32c_column, internal_key, internal_order, split_internal_key
+from palimpsest.functions.codec import MembershipFilter, crc32c, crc32c_all, crc32c_column, internal_key, internal_order, split_internal_key
 
 
 def test_crc32c(spark):
@@ -28,3 +28,10 @@ def test_membership_filter():
     wrong = sum(f.might_contain((2**20 + i).to_bytes(3, "big")) for i in range(10_000))
     assert wrong <= 1.2 * f.expected_rate(len(keys)) * 10_000
     assert MembershipFilter([]).might_contain(b"any")
+
+
+def test_crc_of_many_is_that_of_each():
+    rng = random.Random(5)
+    data = [rng.randbytes(rng.randrange(40)) for _ in range(300)] + [b"", b"123456789", rng.randbytes(3000)]
+    assert crc32c_all(data).tolist() == [crc32c(b) for b in data]
+    assert crc32c_all([]).tolist() == [] and crc32c_all([b""]).tolist() == [0]
