@@ -1,8 +1,8 @@
 """Token counts of whole texts, huge ones by overlapping chunks that are spliced where it is proven safe.
 
 A text over ``chunk_chars`` is encoded in chunks that overlap. Two neighbours are spliced at a
-position p inside their overlap where both have a token boundary, the character before p is a
-letter or digit and the one at p is a space or a line end. The byte-level pre-tokenizer always
+position p inside their overlap where both have a token that starts there, the character before p is
+a letter or digit and the one at p is a space, a tab or a line end. The byte-level pre-tokenizer always
 splits there: no token of it holds a letter or digit followed by white space, and matching goes on
 from p without looking back. So what stands left of p is encoded as in the whole text by the left
 chunk, and what stands right of p by the right one. Where an overlap has no such position (one
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import texts
 
-CHUNK_CHARS = 1 << 12
-OVERLAP_CHARS = 1 << 8
+CHUNK_CHARS = 1 << 13
+OVERLAP_CHARS = 1 << 7
 LIMIT = 512
 
 
@@ -46,43 +46,49 @@ def load(path: str):
     return tok
 
 
-def _splice(text: str, lo: int, hi: int, left: set[int], right: set[int]) -> int | None:
-    """The last proven common boundary in (lo, hi)."""
-    for p in range(hi - 1, lo, -1):
-        if text[p] in " \n\t\r" and text[p - 1].isalnum() and p in left and p in right:
-            return p
-    return None
+def encode_chunk(tok, text: str, lo: int, hi: int):
+    """The encoding of text[lo:hi], with offsets; they stay in the library and are asked for by position."""
+    return tok.encode(text[lo:hi], add_special_tokens=False)
+
 
+def _starting_at(enc, at: int) -> int | None:
+    """The number of the token that starts at character ``at`` of a chunk."""
+    k = enc.char_to_token(at)
+    return k if k is not None and enc.token_to_chars(k)[0] == at else None
 
-def encode_chunk(tok, text: str, lo: int, hi: int) -> list[tuple[int, int]]:
-    """(start, end) of each token of text[lo:hi], in the whole text's positions."""
-    return [(a + lo, b + lo) for a, b in tok.encode(text[lo:hi], add_special_tokens=False).offsets]
+
+def _splice(text: str, lo: int, hi: int, left, left_lo: int, right, right_lo: int) -> tuple[int, int, int] | None:
+    """The last proven common boundary in (lo, hi), and the numbers of the tokens there in both chunks."""
+    for p in range(hi - 1, lo, -1):
+        if text[p] in " \n\t\r" and text[p - 1].isalnum():
+            k, m = _starting_at(left, p - left_lo), _starting_at(right, p - right_lo)
+            if k is not None and m is not None:
+                return p, k, m
+    return None
 
 
 def count_long(tok, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> int:
     """The number of tokens of text, from chunks of it."""
-    size, lo, start, total = len(text), 0, 0, 0
+    size, lo, start, first, total = len(text), 0, 0, 0, 0
     hi = min(chunk, size)
-    spans = encode_chunk(tok, text, lo, hi)
+    left = encode_chunk(tok, text, lo, hi)
     while hi < size:
         wide = overlap
         while True:
             nlo, nhi = max(lo, hi - wide), min(size, hi + chunk)
-            following = encode_chunk(tok, text, nlo, nhi)
-            # a token ends at p in the left chunk; in the right one none starts before p and ends after it
-            ends = {b for _, b in spans if b > nlo}
-            p = _splice(text, max(nlo, start), hi, ends, {b for a, b in following if b <= hi})
-            if p is not None:
-                total += sum(1 for a, _ in spans if start <= a < p)
-                start, spans, lo, hi = p, following, nlo, nhi
+            right = encode_chunk(tok, text, nlo, nhi)
+            at = _splice(text, max(nlo, start), hi, left, lo, right, nlo)
+            if at is not None:
+                total += at[1] - first
+                start, first, left, lo, hi = at[0], at[2], right, nlo, nhi
                 break
             if nlo <= max(lo, start) or wide >= hi - lo:  # the overlap can't grow leftwards: the left chunk takes in more
                 hi = min(size, hi + max(chunk, hi - lo))
-                spans = encode_chunk(tok, text, lo, hi)
+                left = encode_chunk(tok, text, lo, hi)
                 if hi == size:
                     break
             wide *= 2
-    return total + sum(1 for a, _ in spans if a >= start)
+    return total + len(left) - first
 
 
 def count_batch(tok, batch: list[str | None], chunk: int, overlap: int) -> list[int]:
