@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -92,6 +92,12 @@ def numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
     return scratch.table(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
+def digest(*cols: Column) -> Column:
+    """SHA-256 of several strings: equal for rows that are equal in all of them, nulls included."""
+    parts = [F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in cols]
+    return F.unhex(F.sha2(F.concat(*parts).cast("binary"), 256))
+
+
 def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of docs whose key is not in ids (one column). Rows with a null key stay."""
     name = "_gone"
@@ -100,4 +106,4 @@ def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     ids = ids.toDF(name).where(F.col(name).isNotNull()).distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return docs.join(ids, docs[key].cast("long") == ids[name], "left_anti")
+    return docs.join(ids, docs[key].cast(ids.schema[name].dataType) == ids[name], "left_anti")

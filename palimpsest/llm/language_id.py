@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, numbered, without
+from .common import Scratch, digest, without
 
 TRAIN_ROWS = 20_000
 #: Rows of each language at least, where it has so many, and trigrams of the model for each.
@@ -55,11 +55,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 EVIDENCE = ("id", "text", "declared", "suffix", "domain", "host")
 
 
-def of_documents(docs: DataFrame) -> DataFrame:
-    """Documents as evidence: the lang column is what is declared, a source stands for a host."""
+def of_documents(docs: DataFrame, *more: str) -> DataFrame:
+    """Documents as evidence: the lang column is what is declared, a source stands for a host; and more columns."""
     none = F.lit(None).cast("string")
     return docs.select(
-        F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), _tag(F.col("lang")).alias("declared"), none.alias("suffix"), none.alias("domain"), F.col("source").cast("string").alias("host")
+        *more, F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), _tag(F.col("lang")).alias("declared"), none.alias("suffix"), none.alias("domain"), F.col("source").cast("string").alias("host")
     )
 
 
@@ -185,11 +185,14 @@ def _unknown(n: np.ndarray, logs: np.ndarray) -> float:
     return float((own + np.minimum(others, own).mean()) / 2)
 
 
-def identify(rows: DataFrame, languages: list[str] | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """id, declared, text_language, language, posterior, n_words, accepted for every row of evidence."""
+def identify(rows: DataFrame, languages: list[str] | None = None, train_rows: int = TRAIN_ROWS, key: str = "id") -> DataFrame:
+    """id, declared, text_language, language, posterior, n_words, accepted for every row of evidence.
+
+    ``key`` names the column that comes out as id.
+    """
     spark = rows.sparkSession
     scratch = Scratch(spark, "langid")
-    rows = rows.select(*EVIDENCE)
+    rows = rows.select(F.col(key).alias("key"), *EVIDENCE)
     model = train(rows, scratch, languages, train_rows)
     names, k = model.languages, len(model.languages)
     shared = spark.sparkContext.broadcast(model)
@@ -202,7 +205,8 @@ def identify(rows: DataFrame, languages: list[str] | None = None, train_rows: in
             ll = pa.array([x.tolist() for _, x in got], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array([n for n, _ in got], pa.int64()), ll], ["id", "declared", "suffix", "domain", "host", "n_words", "ll"])
 
-    judged = scratch.table(rows.mapInArrow(judge, "id long, declared string, suffix string, domain string, host string, n_words long, ll array<double>"), "judged")
+    kind = rows.schema["key"].dataType.simpleString().replace("bigint", "long")
+    judged = scratch.table(rows.drop("id").select("key", *EVIDENCE[1:]).mapInArrow(judge, f"id {kind}, declared string, suffix string, domain string, host string, n_words long, ll array<double>"), "judged")
     for c in ("declared", "suffix", "domain", "host"):  # a join key must not be null
         judged = judged.withColumn(c, F.coalesce(F.col(c), F.lit("")))
     best = F.when(F.col("n_words") > 0, F.expr("cast(array_position(ll, array_max(ll)) - 1 as int)"))
@@ -250,8 +254,14 @@ def identify(rows: DataFrame, languages: list[str] | None = None, train_rows: in
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that are accepted. Rows are judged, not ids: a null or repeated id is none the worse."""
+    """The rows of docs, with all their columns, that are accepted. Rows are judged, not ids: a null or repeated id is none the worse.
+
+    Rows of equal evidence are judged alike, so a digest of the evidence stands for them.
+    """
     scratch = Scratch(docs.sparkSession, "langid-clean")
-    docs, row = numbered(docs, scratch)
-    rejected = identify(of_documents(docs.withColumn("doc_id", F.col(row)))).where(~F.col("accepted")).select(F.col("id").alias(row))
-    return without(docs, scratch.table(rejected, "rejected"), row).drop(row)
+    mark = "_evidence"
+    while mark in docs.columns:
+        mark += "_"
+    docs = docs.withColumn(mark, digest(F.col("text").cast("string"), _tag(F.col("lang")), F.col("source").cast("string")))
+    rejected = identify(of_documents(docs, mark), key=mark).where(~F.col("accepted")).select("id").distinct()
+    return without(docs, scratch.table(rejected, "rejected"), mark).drop(mark)

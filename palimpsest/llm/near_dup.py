@@ -259,10 +259,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # a class's smallest id, with its signature; at most one row a class and task is shuffled
     first = signed.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "n", "bands", "sketch")).alias("m"))
     sig = scratch.table(first.select("key", F.col("m.doc_id").alias("rep"), "m.n", "m.bands", "m.sketch"), "classes")
+    rows = scratch.table(signed.select("doc_id", "key", "n"), "rows")
+    scratch.drop("signed")  # the signatures of classes are written, and rows need none
     sketches = sig.select("rep", "n", "sketch")
     buckets = sig.select("rep", F.explode("bands").alias("key"))
     shared = scratch.table(buckets.groupBy("key").agg(F.min("rep").alias("p"), F.max("rep").alias("last")).where("last > p").drop("last"), "shared")
     members = scratch.table(buckets.join(shared, "key").select("key", "rep", "p"), "members")
+    scratch.drop("shared")
     star = _screened(members.where("rep <> p").select(F.col("p").alias("a"), F.col("rep").alias("b")).distinct(), sketches)
 
     sets = _sets(docs, sig.select("rep", F.col("key").alias("text_key")), members.select("rep").distinct(), scratch)
@@ -287,12 +290,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             links.append(scratch.table(confirmed(deg, sets), f"links{k}"))
         else:
             links.append(scratch.table(_across(scratch.table(open_, f"open{k}"), sketches, sets), f"links{k}"))
+        scratch.drop(f"placed{k}", f"mixed{k}", f"open{k}")
         if links[-1].isEmpty():
             continue
         comp = components(reduce(DataFrame.unionByName, links), scratch, f"c{k}")
     found = scratch.table(sig.select("key", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("comp", "rep").alias("comp")), "found")
-    out = scratch.read(signed.schema, "signed").select("doc_id", "key", "n").join(found, "key", "left")
-    scratch.keep("signed", "found")
+    out = rows.join(found, "key", "left")
+    scratch.keep("rows", "found")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
@@ -308,7 +312,9 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, scratch: Scrat
     wanted = scratch.table(classes.join(wanted, "rep").select("rep", "text_key"), "wanted")
     ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     chosen = docs.join(ids, (docs["doc_id"] == ids["rep"]) & (docs["key"] == ids["text_key"])).select("rep", "text")
-    return scratch.table(chosen.mapInArrow(hashes, "rep long, hashes array<long>"), "sets")
+    sets = scratch.table(chosen.mapInArrow(hashes, "rep long, hashes array<long>"), "sets")
+    scratch.drop("wanted")
+    return sets
 
 
 def _across(open_: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
