@@ -11,7 +11,7 @@ stretch of n characters without such a position is encoded over and over, but wi
 double, so a few times n characters in all, never n^2. Memory is that of the text and of the offsets
 of the widest chunk, which is as long as the longest such stretch.
 
-The chunk is short, so that all but short texts are counted this way.
+A text of at most ``chunk_chars`` is one chunk and needs no splice.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); a row per input row, repeated
 or null ids included.
